@@ -17,7 +17,7 @@ _SPLIT = {"split": SPLIT_SQL.format(val=0.2),
 
 def split_rows(spark, sf):
     """Engineered rows with their split, written once because several passes read them."""
-    return materialise(stratified_split(features(spark, sf)), "split")
+    return materialise(stratified_split(materialise(features(spark, sf), "features")), "split")
 
 
 def train_of(rows):
@@ -188,7 +188,7 @@ def _preprocess(spark, sf):
 def _full_transform(spark, sf):
     from pyspark.ml import Pipeline
 
-    rows = materialise(stratified_split(cleaned(spark, sf)), "rows")
+    rows = materialise(stratified_split(materialise(cleaned(spark, sf), "cleaned")), "rows")
     fitted = Pipeline(stages=[tr.FeatureEngineer(), tr.Preprocess()]).fit(train_of(rows))
     names = fitted.stages[-1].names()
     return round_doubles(fitted.transform(rows).selectExpr("customer_id", "split", *[f"{name('t_' + c)} AS {name(c)}" for c in names]), 4)

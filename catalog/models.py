@@ -24,7 +24,7 @@ EFFORT = 0.1
 
 
 def split_cleaned(spark, sf):
-    return materialise(stratified_split(cleaned(spark, sf)), "split")
+    return materialise(stratified_split(materialise(cleaned(spark, sf), "cleaned")), "split")
 
 
 def matrices(spark, sf, selected=None):

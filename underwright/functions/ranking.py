@@ -55,7 +55,11 @@ def hash_ranked(df: DataFrame, id_col: str, seed: int | str, partition: Sequence
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """First row of each key in ``order``; partial aggregation keeps a hot key small."""
-    rest = [c for c in df.columns if c not in keys and c not in order]
-    first = df.groupBy(*keys).agg(F.expr(f"min(struct({', '.join(f'`{c}`' for c in [*order, *rest])})) AS _f"))
-    return first.select(*keys, "_f.*").select(*df.columns)
+    """First row of each key in ``order``, or in the order of all other columns where none is given.
+
+    ``row_number() = 1`` becomes a group limit that every task applies before the shuffle, so a key
+    that many rows share sends one row per task; unused columns are pruned from the scan.
+    """
+    order = list(order) or [f"`{c}`" for c in df.columns if c not in keys]
+    numbered = df.selectExpr("*", f"row_number() {window(keys, order)} AS _rn")
+    return numbered.filter("_rn = 1").select(*df.columns)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from underwright.functions.ranking import hash_ranked
+from underwright.functions.scalars import name
 from underwright.sources.contract import ID, TARGET
 
 SPLITS = ("train", "validation", "test")
@@ -21,7 +22,7 @@ def stratified_split(df: DataFrame, test_size: float = 0.2, val_size: float = 0.
     sizes = sizes.selectExpr(target, "_test", f"round((_n - _test) * {val_size}D) AS _val")
     ranked = hash_ranked(df, id_col, seed, [target], "_rank").join(F.broadcast(sizes), target)  # one row per class
     split = ("CASE WHEN _rank <= _test THEN 'test' WHEN _rank <= _test + _val THEN 'validation' ELSE 'train' END AS split")
-    return ranked.selectExpr(*df.columns, split)
+    return ranked.selectExpr(*map(name, df.columns), split)
 
 
 def holdout_80_20(df: DataFrame, seed: int = 42, id_col: str = ID, target: str = TARGET) -> DataFrame:
@@ -32,7 +33,7 @@ def holdout_80_20(df: DataFrame, seed: int = 42, id_col: str = ID, target: str =
 def stratified_kfold(df: DataFrame, k: int = 5, seed: int = 42, id_col: str = ID, target: str = TARGET) -> DataFrame:
     """Append ``fold`` in 0 .. k-1 with equal class shares."""
     ranked = hash_ranked(df, id_col, seed, [target], "_rank")
-    return ranked.selectExpr(*df.columns, f"CAST((_rank - 1) % {k} AS INT) AS fold")
+    return ranked.selectExpr(*map(name, df.columns), f"CAST((_rank - 1) % {k} AS INT) AS fold")
 
 
 def split_report(split: DataFrame, target: str = TARGET) -> DataFrame:
