@@ -112,12 +112,12 @@ def partial_dependence(df: DataFrame, features: Sequence[str], score: Callable[[
     partial averages leave it.
     """
     grids = {f: feature_grid(df, f, points) for f in features}
-    entries = ", ".join(f"struct({text(f)} AS feature, {number(x)} AS x)" for f, grid in grids.items() for x in grid)
+    entries = ", ".join(f"struct({text(f)} AS f, {number(x)} AS v)" for f, grid in grids.items() for x in grid)
     others = [c for c in df.columns if c not in features]
     crossed = df.selectExpr("*", f"explode(array({entries})) AS _g").selectExpr(
-        *map(name, others), "_g.feature", "_g.x",
-        *[f"IF(_g.feature = {text(f)}, _g.x, {name(f)}) AS {name(f)}" for f in features])
-    return score(crossed).groupBy("feature", "x").agg(F.expr("avg(p) AS mean_p"))
+        *map(name, others), "_g", *[f"IF(_g.f = {text(f)}, _g.v, {name(f)}) AS {name(f)}" for f in features])
+    means = score(crossed).groupBy("_g").agg(F.expr("avg(p) AS mean_p"))
+    return means.selectExpr("_g.f AS feature", "_g.v AS x", "mean_p")
 
 
 # --- model-agnostic local explanations ------------------------------------------------------------
