@@ -55,7 +55,7 @@ def _sink_split(spark, sf):
     "FROM c) WHERE position < 10", "cleaned", c=" UNION ALL ".join(
         f"SELECT '{c}' AS feature, {r(f'corr({c}, creditworthy)')} AS r FROM cleaned" for c in NUMERIC)))
 def _json_artifact(spark, sf):
-    best = round_doubles(eda.target_correlation(cleaned(spark, sf))).orderBy(F.expr("abs(r) DESC"), "feature").limit(10)
+    best = round_doubles(eda.target_correlation(cleaned(spark, sf))).orderBy(F.expr("abs(r)").desc(), "feature").limit(10)
     path = scratch_path(spark, "selected")
     files.write_json(spark, [row["feature"] for row in best.collect()], path)
     return spark.createDataFrame(list(enumerate(files.read_json(spark, path))), "position int, feature string")

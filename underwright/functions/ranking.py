@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from underwright.functions.scalars import hash_order, with_exprs
 
-HASH_DIGITS = 3  # 4,096 buckets per hash-ordered group
+HASH_DIGITS = 4  # 65,536 buckets per hash-ordered group
 
 
 def window(partition: Sequence[str], order: Sequence[str], frame: str = "") -> str:

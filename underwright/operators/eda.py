@@ -154,7 +154,7 @@ def target_correlation(df: DataFrame, columns: Sequence[str] | None = None, targ
     """Features by absolute correlation with the target."""
     columns = list(columns or numeric_columns(df))
     row = df.selectExpr(*[f"corr(CAST({name(c)} AS DOUBLE), CAST({target} AS DOUBLE)) AS {name(c)}" for c in columns])
-    return long_rows(row, [{"feature": text(c), "r": name(c)} for c in columns]).orderBy(F.expr("abs(r) DESC"), "feature")
+    return long_rows(row, [{"feature": text(c), "r": name(c)} for c in columns]).orderBy(F.expr("abs(r)").desc(), "feature")
 
 
 def _category_counts(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
@@ -204,7 +204,7 @@ def skew_kurtosis(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     return long_rows(row, [{
         "feature": text(c), "skewness": f"round({name(c + '_skewness')}, 3)", "kurtosis": f"round({name(c + '_kurtosis')}, 3)",
         "shape": skew_label(name(c + "_skewness")),
-    } for c in columns]).orderBy(F.expr("abs(skewness) DESC"), "feature")
+    } for c in columns]).orderBy(F.expr("abs(skewness)").desc(), "feature")
 
 
 def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

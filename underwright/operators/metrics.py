@@ -36,8 +36,11 @@ def score_counts(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def _attach(df: DataFrame, row: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Join per-group constants; without groups ``row`` has exactly one row."""
-    return df.join(F.broadcast(row), list(by)) if by else df.join(F.broadcast(row))
+    """Join per-group constants; without groups ``row`` has exactly one row.
+
+    A group of ``df`` has at most 1,000,001 rows, so the join is safe whichever way Spark runs it.
+    """
+    return df.join(row, list(by)) if by else df.join(F.broadcast(row))
 
 
 def _cumulative(counts: DataFrame, by: Sequence[str]) -> DataFrame:

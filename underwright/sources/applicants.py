@@ -1,6 +1,6 @@
 """Applicant table derived from the customer, orders, lineitem and events tables.
 
-One pass per table: orders and line items are aggregated to the customer before any join, only the
+One pass per table: line items are aggregated to the order and orders to the customer, only the
 150 event users that a customer key can map to are kept (so that side has at most 150 rows), and the
 duplicate rows are produced by an array explode instead of reading the derived table three times.
 """
@@ -72,7 +72,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def order_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order totals and delinquency marks per customer."""
+    """Order totals, delinquency marks and monthly debt (a tenth of the average line price) per customer.
+
+    Line items are reduced to a sum and a count per order first, so the join moves one row per order,
+    orders are read once and one aggregation by customer serves all columns.
+    """
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.expr("l_orderkey AS o_orderkey")).agg(
+        F.expr("sum(l_extendedprice) AS line_sum"), F.expr("count(l_extendedprice) AS line_n"))
     aggregates = {
         "n_orders": "count(*)",
         "tot": "round(sum(o_totalprice), 2)",
@@ -81,23 +87,12 @@ def order_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         "late": f"count_if({LATE})",
         "dflt": f"count_if({DEFAULTED})",
         "last_dlq": f"max(CASE WHEN ({LATE}) OR ({DEFAULTED}) THEN o_orderdate END)",
+        "debt": "round(sum(line_sum) / sum(line_n) / 10, 0)",
     }
-    orders = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "ck")
+    orders = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "ck").join(lines, "o_orderkey", "left")
     return orders.groupBy("ck").agg(*[F.expr(e).alias(c) for c, e in aggregates.items()])
 
 
-def debt_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly debt per customer: a tenth of the average line price.
-
-    Lines are reduced to a sum and a count per order before the join, so the join moves one row
-    per order.
-    """
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-        F.expr("sum(l_extendedprice) AS s"), F.expr("count(l_extendedprice) AS n"))
-    orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS l_orderkey", "o_custkey AS ck")
-    return lines.join(orders, "l_orderkey").groupBy("ck").agg(F.expr("round(sum(s) / sum(n) / 10, 0) AS debt"))
-
-
 def click_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Large clicks per event user; customers map to users 0..149 only."""
     return (
@@ -114,7 +109,6 @@ def applicants(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"c_custkey % {EVENT_USERS} AS user_id")
     base = (
         customers.join(order_history(spark, sf_dir), "ck", "left")
-        .join(debt_history(spark, sf_dir), "ck", "left")
         .join(F.broadcast(click_history(spark, sf_dir)), "user_id", "left")
         .fillna(0, ["n_orders", "late", "dflt", "clicks"])
     )
