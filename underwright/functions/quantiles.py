@@ -66,8 +66,10 @@ def exact_quantiles(df: DataFrame, columns: Mapping[str, str] | Sequence[str],
                 out[n].append(None)
                 continue
             position = (size - 1) * q
-            low, high = values[(keys[n], math.floor(position))], values[(keys[n], math.ceil(position))]
-            out[n].append(low + (high - low) * (position - math.floor(position)))
+            below = math.floor(position)
+            low, high = values[(keys[n], below)], values[(keys[n], math.ceil(position))]
+            share = position - below
+            out[n].append(low if low == high else (1 - share) * low + share * high)
     return out
 
 
