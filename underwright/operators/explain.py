@@ -97,9 +97,12 @@ def permutation_importance(df: DataFrame, features: Sequence[str], score: Callab
 
 def feature_grid(df: DataFrame, feature: str, points: int = GRID_POINTS) -> list[float]:
     """All values of a feature with few, else an even grid between its 5% and 95% quantiles."""
-    few = df.select(feature).filter(f"{name(feature)} IS NOT NULL").distinct().limit(points + 1).collect()
-    if len(few) <= points:
-        return sorted(r[0] for r in few)
+    present = df.select(feature).filter(f"{name(feature)} IS NOT NULL")
+    # the exact values are only fetched when an estimate says that they are few
+    if present.selectExpr(f"approx_count_distinct({name(feature)}) AS n").first()["n"] <= 2 * points:
+        few = present.distinct().limit(points + 1).collect()
+        if len(few) <= points:
+            return sorted(r[0] for r in few)
     low, high = exact_quantiles(df, [feature], (0.05, 0.95))[feature]
     return [low + (high - low) * i / (points - 1) for i in range(points)]
 

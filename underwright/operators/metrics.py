@@ -29,8 +29,9 @@ def _aggregate(df: DataFrame, by: Sequence[str], exprs: Sequence[str]) -> DataFr
 
 
 def score_counts(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Rows per score as (by..., u, p, n1, n0); u is p in millionths."""
-    counts = scores.selectExpr(*by, f"{UNITS} AS u", f"{GOOD} AS y").groupBy(*by, "u").agg(
+    """Rows per score as (by..., u, p, n1, n0); u is p in millionths. Rows without score or label do not count."""
+    counts = scores.filter("p IS NOT NULL AND y IS NOT NULL").selectExpr(
+        *by, f"coalesce({UNITS}, 0L) AS u", f"{GOOD} AS y").groupBy(*by, "u").agg(
         F.expr("sum(y) AS n1"), F.expr("sum(1 - y) AS n0"))
     return counts.selectExpr(*by, "u", f"u / {number(MICRO)} AS p", "n1", "n0")
 
@@ -45,10 +46,11 @@ def _attach(df: DataFrame, row: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def _cumulative(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     """Counts plus inclusive running sums c1, c0 along rising p and the group totals t1, t0, as doubles."""
-    bucketed = counts.selectExpr(*by, "u", "p", "n1", "n0", "CAST(floor(u / 1000) AS BIGINT) AS _b")
-    running = prefix_sum(bucketed, {"c1": "n1", "c0": "n0"}, ["u"], ["_b"], by)
-    totals = _aggregate(counts, by, ["sum(n1) AS t1", "sum(n0) AS t0"])
-    return _attach(running, totals, by).selectExpr(
+    groups = {f"_g{i}": f"coalesce(CAST({c} AS STRING), '')" for i, c in enumerate(by)}
+    bucketed = counts.selectExpr(*by, "u", "p", "n1", "n0", "coalesce(CAST(floor(u / 1000) AS BIGINT), 0L) AS _b",
+                                 *[f"{e} AS {g}" for g, e in groups.items()])
+    running = prefix_sum(bucketed, {"c1": "n1", "c0": "n0"}, ["u"], ["_b"], list(groups), {"t1": "n1", "t0": "n0"})
+    return running.selectExpr(
         *by, "u", "p", *[f"CAST({c} AS DOUBLE) AS {c}" for c in ("n1", "n0", "c1", "c0", "t1", "t0")])
 
 
@@ -183,15 +185,19 @@ def threshold_sweep(scores: DataFrame, by: Sequence[str] = (), cost_fp: float =
                     cost_fn: float = COST_FN) -> DataFrame:
     """Confusion counts and cost at 0.01 .. 0.99, from one histogram of whole percents per group.
 
-    A score counts as approved for every threshold up to its whole percent, so 101 cells per group
-    hold all that is needed; no row meets 99 thresholds.
+    A score counts as approved for every threshold up to its whole percent, so 101 cells per group,
+    summed from the score counts, hold all that is needed; no row meets 99 thresholds.
     """
-    cell = f"CAST(floor({UNITS} / {MICRO // 100}) AS INT) AS k"
-    hist = scores.selectExpr(*by, cell, f"{GOOD} AS y").groupBy(*by, "k").agg(
-        F.expr("sum(y) AS n1"), F.expr("sum(1 - y) AS n0"))
-    grid = _aggregate(hist, by, ["count(*) AS _n"]).selectExpr(
-        *by, f"explode(sequence(0, {THRESHOLDS + 1})) AS k", "0L AS n1", "0L AS n0")
-    cells = hist.unionByName(grid).groupBy(*by, "k").agg(F.expr("sum(n1) AS n1"), F.expr("sum(n0) AS n0"))
+    return _sweep(score_counts(scores, by), by, cost_fp, cost_fn)
+
+
+def _sweep(counts: DataFrame, by: Sequence[str], cost_fp: float, cost_fn: float) -> DataFrame:
+    hist = counts.selectExpr(*by, f"CAST(floor(u / {MICRO // 100}) AS INT) AS k", "n1", "n0").groupBy(*by, "k").agg(
+        F.expr("sum(n1) AS n1"), F.expr("sum(n0) AS n0"))
+    # at most 101 cells per group, laid out over the whole grid
+    packed = _aggregate(hist, by, ["map_from_entries(collect_list(struct(k, struct(n1, n0)))) AS m"]).filter("size(m) > 0")
+    cells = packed.selectExpr(*by, "m", f"explode(sequence(0, {THRESHOLDS + 1})) AS k").selectExpr(
+        *by, "k", "coalesce(try_element_at(m, k).n1, 0L) AS n1", "coalesce(try_element_at(m, k).n0, 0L) AS n0")
     below = window(by, ["k"], "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING")  # 101 rows per group
     swept = cells.selectExpr(
         *by, "k", f"coalesce(sum(n1) {below}, 0L) AS fn", f"coalesce(sum(n0) {below}, 0L) AS tn",
@@ -278,12 +284,11 @@ def gain_curve(scores: DataFrame, id_col: str = "customer_id", seed: int = 42) -
     Equal scores are ordered by the seeded hash of the id, and its first digits split a score that
     many rows share, so no window holds such a group whole.
     """
-    rows = scores.selectExpr(id_col, "p", f"1 - {GOOD} AS bad", "1L AS one", f"{UNITS} AS u",
-                             f"{hash_order(id_col, seed)} AS h")
-    rows = rows.selectExpr("*", "CAST(floor(u / 1000) AS BIGINT) AS b0", f"substring(h, 1, {HASH_DIGITS}) AS b1")
-    ranked = prefix_sum(rows, {"rank": "one", "found": "bad"}, ["h", id_col], ["b0", "u", "b1"])
-    totals = scores.selectExpr("count(*) AS n", f"sum(1 - {GOOD}) AS t0")
-    return _attach(ranked, totals, ()).selectExpr(
+    rows = scores.filter("p IS NOT NULL AND y IS NOT NULL").selectExpr(
+        id_col, "p", f"1 - {GOOD} AS bad", "1L AS one", f"coalesce({UNITS}, 0L) AS u", f"{hash_order(id_col, seed)} AS h")
+    rows = rows.selectExpr("*", "coalesce(CAST(floor(u / 1000) AS BIGINT), 0L) AS b0", f"substring(h, 1, {HASH_DIGITS}) AS b1")
+    ranked = prefix_sum(rows, {"rank": "one", "found": "bad"}, ["h", id_col], ["b0", "u", "b1"], (), {"n": "one", "t0": "bad"})
+    return ranked.selectExpr(
         id_col, "p", "rank", "round(rank / n, 6) AS population_share", "round(try_divide(found, t0), 6) AS capture",
         "n", "found", "t0")
 

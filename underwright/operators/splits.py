@@ -18,10 +18,9 @@ def stratified_split(df: DataFrame, test_size: float = 0.2, val_size: float = 0.
 
     Ranks come from hash buckets inside the class, so a class of any size stays spread over tasks.
     """
-    sizes = df.groupBy(target).agg(F.expr("count(*) AS _n")).selectExpr(target, "_n", f"round(_n * {test_size}D) AS _test")
-    sizes = sizes.selectExpr(target, "_test", f"round((_n - _test) * {val_size}D) AS _val")
-    ranked = hash_ranked(df, id_col, seed, [target], "_rank").join(F.broadcast(sizes), target)  # one row per class
-    split = ("CASE WHEN _rank <= _test THEN 'test' WHEN _rank <= _test + _val THEN 'validation' ELSE 'train' END AS split")
+    ranked = hash_ranked(df, id_col, seed, [target], "_rank", size="_n").selectExpr("*", f"round(_n * {test_size}D) AS _test")
+    split = (f"CASE WHEN _rank <= _test THEN 'test' WHEN _rank <= _test + round((_n - _test) * {val_size}D) THEN 'validation' "
+             "ELSE 'train' END AS split")
     return ranked.selectExpr(*map(name, df.columns), split)
 
 
