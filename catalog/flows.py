@@ -73,15 +73,26 @@ def _saved(spark, sf):
     return path, trained, rows
 
 
-@register("save_load_model")
-def _save_load(spark, sf):
+@register("load_model")
+def _load_model(spark, sf):
     path, trained, rows = _saved(spark, sf)
     model, metadata = files.load_model(spark, path)
     scored = model.transform(rows).withColumn("p", F.element_at(models.vector_to_array("probability"), 2))
     return scoring.score_applicants(scored, "p", metadata["decision_threshold"])
 
 
-@register("reload_parity")
+@register("save_model")
+def _save_model(spark, sf):
+    """Metadata row as read back from beside the saved stages."""
+    path, _, _ = _saved(spark, sf)
+    _, metadata = files.load_model(spark, path)
+    rows = [(metadata["model_type"], metadata["decision_threshold"], metadata["n_features"], ",".join(metadata["features"]))]
+    return spark.createDataFrame(rows, "model_type string, decision_threshold double, n_features int, features string")
+
+
+@register("reload_parity", sql(
+    "SELECT CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS unmatched, 0e0 AS max_difference, true AS equal FROM s WHERE split = 'validation'",
+    "cleaned", s=SPLIT_SQL.format(val=0.2)))
 def _reload_parity(spark, sf):
     path, trained, rows = _saved(spark, sf)
     model, _ = files.load_model(spark, path)
