@@ -75,10 +75,11 @@ def _saved(spark, sf):
 
 @register("load_model")
 def _load_model(spark, sf):
-    path, trained, rows = _saved(spark, sf)
+    path, _, rows = _saved(spark, sf)
     model, metadata = files.load_model(spark, path)
-    scored = model.transform(rows).withColumn("p", F.element_at(models.vector_to_array("probability"), 2))
-    return scoring.score_applicants(scored, "p", metadata["decision_threshold"])
+    decisions, _ = batch_scoring.predict_batch(
+        rows, batch_scoring.model_score(model), metadata["decision_threshold"], strict=False)
+    return decisions
 
 
 @register("save_model")

@@ -8,12 +8,13 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 
 from underwright.operators import eda, explain, models, selection, tuning
+from underwright.operators.cleaning import clean_applicants
 from underwright.operators.knn import knn_neighbours
 from underwright.operators.splits import stratified_split
+from underwright.plans.batch_scoring import model_score, predict_batch
 from underwright.session import materialise, scratch_path
 from underwright.sources import files
 from underwright.sources.applicants import applicants
-from underwright.operators.cleaning import clean_applicants
 
 
 @pytest.fixture(scope="module")
@@ -69,6 +70,9 @@ def test_saved_model_scores_the_same(spark, rows, fitted):
     held = rows.filter("split = 'test'").selectExpr("*", "CAST(creditworthy AS DOUBLE) AS label")
     parity = files.reload_parity(models.positive_scores(model.transform(held)), models.positive_scores(loaded.transform(held)))
     assert parity.first()["equal"] and metadata == {}
+    decided, rejected = predict_batch(held, model_score(loaded), 0.6, strict=False)
+    assert decided.count() + rejected.count() == held.count()
+    assert decided.filter("(p_creditworthy > 0.6001) != (decision = 'Approve') AND abs(p_creditworthy - 0.6) > 0.001").count() == 0
 
 
 @pytest.mark.parametrize("blocks", [(2000, 20000), (37, 53)])

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from underwright.functions.scalars import with_exprs
 from underwright.operators.scoring import DEFAULT_THRESHOLD, reason_codes, score_applicants, validate
@@ -23,6 +26,16 @@ def card_score(df: DataFrame) -> DataFrame:
 CARD_REASONS = {t: term_contribution(t) for t in TERM_NAMES}
 
 
+def model_score(model: PipelineModel) -> Score:
+    """Scoring step of a fitted model on raw contract columns: appends ``p`` and keeps the input columns."""
+
+    def score(df: DataFrame) -> DataFrame:
+        p = F.element_at(vector_to_array("probability"), 2).alias("p")
+        return model.transform(df).select(*df.columns, p)
+
+    return score
+
+
 def predict_batch(df: DataFrame, score: Score, threshold: float = DEFAULT_THRESHOLD, strict: bool = True,
                   reasons: Mapping[str, str] | None = None, top_k: int = 5,
                   keep: tuple[str, ...] = (ID,)) -> tuple[DataFrame, DataFrame]:
