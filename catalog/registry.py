@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from underwright.functions.scalars import name, rounded
 from underwright.operators.cleaning import clean_applicants
 from underwright.operators.features import engineer_features
+from underwright.session import materialise
 from underwright.sources.applicants import applicants
 from underwright.sources.scorecard import score_variants, scored
 
@@ -37,6 +38,11 @@ def cleaned(spark: SparkSession, sf: str) -> DataFrame:
     return clean_applicants(applicants(spark, sf))
 
 
+def stored(spark: SparkSession, sf: str) -> DataFrame:
+    """Cleaned rows, written once for queries that need several passes."""
+    return materialise(cleaned(spark, sf), "cleaned")
+
+
 def features(spark: SparkSession, sf: str) -> DataFrame:
     return engineer_features(cleaned(spark, sf))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.fitted import OUTPUT_NAMES, PREPROCESSED, split_rows, train_of
-from catalog.registry import cleaned, register, round_doubles
+from catalog.registry import cleaned, register, round_doubles, stored
 from catalog.sql import NUMERIC, r, sql
 from underwright.functions.scalars import unpivot
 from underwright.operators import selection as sel
@@ -71,7 +71,7 @@ _MI = {
           "OVER (PARTITION BY feature, y) AS ny, sum(n) OVER (PARTITION BY feature) AS t FROM cells) GROUP BY 1",
 }
 register("mutual_information", sql(f"SELECT feature, {r('mi')} AS mi FROM mi", "cleaned", **_MI))(
-    lambda spark, sf: round_doubles(sel.mutual_information(cleaned(spark, sf), NUMERIC)))
+    lambda spark, sf: round_doubles(sel.mutual_information(stored(spark, sf), NUMERIC)))
 
 
 @register("rfe")

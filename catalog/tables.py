@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from catalog.registry import cleaned, raw, register, round_doubles
+from catalog.registry import cleaned, raw, register, round_doubles, stored
 from catalog.sql import CATEGORICAL, COLUMNS, NUMERIC, r, sql, stacked
 from underwright.operators import eda, profiling, splits
+from underwright.session import materialise
 from underwright.sources.contract import APPLICANT_COLUMNS
 
 _TYPES = dict(APPLICANT_COLUMNS)
@@ -47,7 +48,7 @@ register("numeric_describe", sql(stacked(
     "round(stddev_samp({c}), 2) AS std, round(min({c}), 2) AS min, round(max({c}), 2) AS max, "
     "round(quantile_cont({c}, 0.25), 2) AS q25, round(quantile_cont({c}, 0.5), 2) AS q50, "
     "round(quantile_cont({c}, 0.75), 2) AS q75 FROM applicants"), "applicants"))(
-    lambda spark, sf: profiling.numeric_describe(raw(spark, sf)))
+    lambda spark, sf: profiling.numeric_describe(materialise(raw(spark, sf), "raw")))
 register("cell_missing_pct", sql(
     "SELECT round(100e0 * (1 - (" + " + ".join(f"count({c})" for c in COLUMNS) + f") * 1e0 / (count(*) * {len(COLUMNS)})), 4) "
     "AS missing_cells_pct FROM applicants", "applicants"))(lambda spark, sf: profiling.cell_missing_pct(raw(spark, sf)))
@@ -71,7 +72,7 @@ register("class_histogram", sql(
     "FROM vals JOIN rng USING (class, \"column\") GROUP BY 1, 2, 3", "cleaned", vals=_NUMBERS,
     rng="SELECT class, \"column\", CASE WHEN min(value) = max(value) THEN min(value) - 0.5e0 ELSE min(value) END AS lo, "
         "CASE WHEN min(value) = max(value) THEN 1e0 ELSE max(value) - min(value) END AS w FROM vals GROUP BY 1, 2"))(
-    lambda spark, sf: eda.class_histogram(cleaned(spark, sf)))
+    lambda spark, sf: eda.class_histogram(stored(spark, sf)))
 register("class_box_stats", sql(
     f"SELECT class, \"column\", CAST(count(*) AS BIGINT) AS n, {r('min(q25)')} AS q25, {r('min(q50)')} AS q50, {r('min(q75)')} AS q75, "
     f"{r('min(CASE WHEN inside THEN value END)')} AS whisker_low, {r('max(CASE WHEN inside THEN value END)')} AS whisker_high, "
@@ -79,7 +80,7 @@ register("class_box_stats", sql(
     "AND q75 + 1.5e0 * (q75 - q25) AS inside FROM vals JOIN q USING (class, \"column\")) GROUP BY 1, 2", "cleaned", vals=_NUMBERS,
     q="SELECT class, \"column\", quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.5) AS q50, "
       "quantile_cont(value, 0.75) AS q75 FROM vals GROUP BY 1, 2"))(
-    lambda spark, sf: round_doubles(eda.class_box_stats(cleaned(spark, sf))))
+    lambda spark, sf: round_doubles(eda.class_box_stats(stored(spark, sf))))
 
 _DENSITY = ["credit_score", "credit_utilization_ratio", "interest_rate"]
 register("class_density", sql(
@@ -90,7 +91,7 @@ register("class_density", sql(
     vals=stacked(_DENSITY, "SELECT creditworthy AS class, '{c}' AS \"column\", {c} AS value FROM cleaned WHERE {c} IS NOT NULL"),
     st="SELECT class, \"column\", count(*) AS n, pow(count(*), -0.2e0) * stddev_samp(value) AS h, min(value) AS lo, "
        "(max(value) - min(value)) / 99e0 AS step, median(value) AS median FROM vals GROUP BY 1, 2"))(
-    lambda spark, sf: round_doubles(eda.class_density(cleaned(spark, sf), _DENSITY)))
+    lambda spark, sf: round_doubles(eda.class_density(stored(spark, sf), _DENSITY)))
 
 # --- correlation ----------------------------------------------------------------------------------
 
@@ -98,7 +99,7 @@ _CORR = [*NUMERIC, "creditworthy"]
 register("correlation_matrix", sql(" UNION ALL ".join(
     f"SELECT '{a}' AS a, '{b}' AS b, {r(f'corr({a}, {b})', 4)} AS r FROM cleaned" if a != b else
     f"SELECT '{a}' AS a, '{b}' AS b, 1e0 AS r" for a in _CORR for b in _CORR), "cleaned"))(
-    lambda spark, sf: round_doubles(eda.correlation_matrix(cleaned(spark, sf)), 4))
+    lambda spark, sf: round_doubles(eda.correlation_matrix(stored(spark, sf)), 4))
 register("target_correlation", sql(" UNION ALL ".join(
     f"SELECT '{c}' AS feature, {r(f'corr({c}, creditworthy)')} AS r FROM cleaned" for c in NUMERIC), "cleaned"))(
     lambda spark, sf: round_doubles(eda.target_correlation(cleaned(spark, sf))))
@@ -135,7 +136,7 @@ register("iqr_outliers", sql(
     "cleaned", x=stacked(
         NUMERIC, "SELECT '{c}' AS feature, {c} AS v, q1 - 1.5e0 * (q3 - q1) AS lo, q3 + 1.5e0 * (q3 - q1) AS hi FROM cleaned, "
         "(SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM cleaned) WHERE {c} IS NOT NULL")))(
-    lambda spark, sf: eda.iqr_outliers(cleaned(spark, sf)))
+    lambda spark, sf: eda.iqr_outliers(stored(spark, sf)))
 
 # --- splits ---------------------------------------------------------------------------------------
 
