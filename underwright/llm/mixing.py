@@ -4,8 +4,8 @@ A document of a source is wanted target / source_size times: a whole number of c
 source are dealt into groups of about ``fan``; in a group, two documents at a time move word mass between their
 fractions, at random and without bias, until one fraction is 0 or 1. So the words of the group stay what they were, and one
 document with a fraction remains. The remaining documents of ``fan`` groups form a group of the next level, until one
-per source is left, which is rounded. The words taken from a source differ from its target by less than one
-document. Random numbers are hashes of the ids that meet, so reruns agree. DataFrame functions only.
+per source is left. It is paired with some hundred documents that were left out for that, by descending size, so that what is
+rounded at last is a small one as a rule; small documents of that group are then flipped against its rounding. Random numbers are hashes of the ids that meet, so reruns agree. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 MOST_COPIES = 3
 #: Weights of the sources in order of their names, repeating.
 WEIGHTS = (1, 2, 3)
+#: About so many documents of each source are left for the last group, where they round off the rest in small steps.
+LAST = 512
 #: Copies of one row are numbered in runs of this length.
 RUN = 100_000
 
@@ -55,7 +57,7 @@ def unit(*parts: str) -> str:
 
 
 def pivot_group(items: str, seed: int) -> Column:
-    """Fold an array of (doc_id, copy, size, pi) into ``rest``, the one left with a fraction, and ``done``, the others with x 0 or 1.
+    """Fold an array of (size, doc_id, copy, pi) into ``rest``, the one left with a fraction, and ``done``, the others with x 0 or 1.
 
     With u_i = size_i * pi_i: mass ``up`` can move from j to i and ``down`` from i to j until one of the two is integral.
     Moving up with probability down / (up + down) leaves every expectation as it was.
@@ -67,16 +69,40 @@ def pivot_group(items: str, seed: int) -> Column:
     case = """CASE WHEN s.u * (least(s.room_i, s.mass_j) + least(s.mass_i, s.room_j)) < least(s.mass_i, s.room_j)
         THEN CASE WHEN s.room_i <= s.mass_j THEN 1 ELSE 2 END ELSE CASE WHEN s.mass_i <= s.room_j THEN 3 ELSE 4 END END"""
     after = """named_struct(
-        'rest', CASE t.how WHEN 1 THEN named_struct('doc_id', t.s.j.doc_id, 'copy', t.s.j.copy, 'size', t.s.j.size, 'pi', greatest(0D, (t.s.mass_j - t.s.room_i) / t.s.j.size))
-            WHEN 2 THEN named_struct('doc_id', t.s.i.doc_id, 'copy', t.s.i.copy, 'size', t.s.i.size, 'pi', least(1D, (t.s.mass_i + t.s.mass_j) / t.s.i.size))
-            WHEN 3 THEN named_struct('doc_id', t.s.j.doc_id, 'copy', t.s.j.copy, 'size', t.s.j.size, 'pi', least(1D, (t.s.mass_j + t.s.mass_i) / t.s.j.size))
-            ELSE named_struct('doc_id', t.s.i.doc_id, 'copy', t.s.i.copy, 'size', t.s.i.size, 'pi', greatest(0D, (t.s.mass_i - t.s.room_j) / t.s.i.size)) END,
+        'rest', CASE t.how WHEN 1 THEN named_struct('size', t.s.j.size, 'doc_id', t.s.j.doc_id, 'copy', t.s.j.copy, 'pi', greatest(0D, (t.s.mass_j - t.s.room_i) / t.s.j.size))
+            WHEN 2 THEN named_struct('size', t.s.i.size, 'doc_id', t.s.i.doc_id, 'copy', t.s.i.copy, 'pi', least(1D, (t.s.mass_i + t.s.mass_j) / t.s.i.size))
+            WHEN 3 THEN named_struct('size', t.s.j.size, 'doc_id', t.s.j.doc_id, 'copy', t.s.j.copy, 'pi', least(1D, (t.s.mass_j + t.s.mass_i) / t.s.j.size))
+            ELSE named_struct('size', t.s.i.size, 'doc_id', t.s.i.doc_id, 'copy', t.s.i.copy, 'pi', greatest(0D, (t.s.mass_i - t.s.room_j) / t.s.i.size)) END,
         'done', concat(t.s.done, array(CASE WHEN t.how IN (1, 3) THEN named_struct('doc_id', t.s.i.doc_id, 'copy', t.s.i.copy, 'size', t.s.i.size, 'x', CASE WHEN t.how = 1 THEN 1 ELSE 0 END)
             ELSE named_struct('doc_id', t.s.j.doc_id, 'copy', t.s.j.copy, 'size', t.s.j.size, 'x', CASE WHEN t.how = 4 THEN 1 ELSE 0 END) END)))"""
     first = f"named_struct('rest', {items}[0], 'done', transform(slice({items}, 1, 0), b -> named_struct('doc_id', b.doc_id, 'copy', b.copy, 'size', b.size, 'x', 0)))"
     return F.expr(f"aggregate(slice({items}, 2, greatest(size({items}) - 1, 0)), {first}, (a, b) -> transform(transform(array({pair}), s -> named_struct('s', s, 'how', {case})), t -> {after})[0])")
 
 
+def fold(level: DataFrame, by: list[str], seed: int) -> DataFrame:
+    """One row per group: ``rest`` and ``done``. The largest documents come first, so the one that remains tends to be small."""
+    items = level.groupBy(*by).agg(F.sort_array(F.collect_list("item"), asc=False).alias("items"))
+    return stored(items.select(*by, pivot_group("items", seed).alias("f")).select(*by, "f.*"), "mix-level")
+
+
+def settle(folded: DataFrame, seed: int) -> DataFrame:
+    """(sid, doc_id, copy, size, x) of the last group: round the one that remains, and flip small documents against it.
+
+    If it is taken, the words that are then too many are made up for by documents of the group that were taken, else those
+    that are missing by documents that weren't; by descending size, as far as they fit.
+    """
+    taken = F.expr(f"CAST({unit('rest.doc_id', 'rest.copy', str(seed))} < rest.pi AS INT)")
+    owed = F.expr("rest.size * CASE WHEN x = 1 THEN 1 - rest.pi ELSE rest.pi END")
+    by_size = F.expr("sort_array(transform(done, d -> named_struct('size', d.size, 'doc_id', d.doc_id, 'copy', d.copy, 'x', d.x)), false)")
+    flips = "(d.x = x AND d.size <= a.owed)"
+    flip = f"""aggregate(done, named_struct('owed', owed, 'out', slice(done, 1, 0)), (a, d) -> named_struct(
+        'owed', CASE WHEN {flips} THEN a.owed - d.size ELSE a.owed END,
+        'out', concat(a.out, array(named_struct('size', d.size, 'doc_id', d.doc_id, 'copy', d.copy, 'x', CASE WHEN {flips} THEN 1 - d.x ELSE d.x END)))))['out']"""
+    rounded = folded.withColumn("x", taken).withColumn("owed", owed).withColumn("done", by_size).withColumn("done", F.expr(flip))
+    everyone = F.expr("concat(done, array(named_struct('size', rest.size, 'doc_id', rest.doc_id, 'copy', rest.copy, 'x', x)))")
+    return rounded.select("sid", F.explode(everyone).alias("d")).select("sid", "d.doc_id", "d.copy", "d.size", "d.x")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", fan: int = 64, seed: int = 7) -> DataFrame:
     """How often each document enters the mix: id, copy, source, size, source_size, target, copies, taken.
 
@@ -98,19 +124,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     wanted = wanted.withColumn("base", F.floor("p").cast("int")).withColumn("pi", F.col("p") - F.floor("p"))
     rounded = (F.col("size") > 0) & (F.col("pi") > 0)
 
-    item = F.struct("doc_id", "copy", F.col("size").alias("size"), "pi")
+    item = F.struct("size", "doc_id", "copy", "pi")
+    last_ones = F.pmod(F.xxhash64("doc_id", "copy", F.lit(seed + 1)), F.ceil(F.col("n") / LAST)) == 0
     group = F.pmod(F.xxhash64("doc_id", "copy", F.lit(seed)), F.ceil(F.col("n") / fan)).alias("part")
-    level = wanted.where(rounded).select("sid", group, item.alias("item"))
+    level = wanted.where(rounded & ~last_ones).select("sid", group, item.alias("item"))
     done, n_groups, k = [], -(-largest // fan), 0
     while True:
-        items = level.groupBy("sid", "part").agg(F.array_sort(F.collect_list("item")).alias("items"))
-        folded = stored(items.select("sid", "part", pivot_group("items", seed + k).alias("f")).select("sid", "part", "f.*"), "mix-level")
+        folded = fold(level, ["sid", "part"], seed + k)
         done.append(folded.select("sid", F.explode("done").alias("d")).select("sid", "d.*"))
         if n_groups <= 1:
             break
         n_groups, k = -(-n_groups // fan), k + 1
         level = folded.select("sid", F.floor(F.col("part") / fan).alias("part"), F.col("rest").alias("item"))
-    last = folded.select("sid", "rest.*").withColumn("x", F.expr(f"CAST({unit('doc_id', 'copy', str(seed + k + 1))} < pi AS INT)")).drop("pi")
+    reserved = wanted.where(rounded & last_ones).select("sid", item.alias("item"))
+    folded = fold(reserved.unionByName(folded.select("sid", F.col("rest").alias("item"))), ["sid"], seed + k + 1)
+    last = settle(folded, seed + k + 2)
     for part in done:
         last = last.unionByName(part)
 
