@@ -29,13 +29,15 @@ BANDS, ROWS = 28, 5
 COMPONENTS = BANDS * ROWS
 #: Bytes of text that are hashed at once.
 AT_ONCE = 4 << 20
-#: Central documents of each bucket that its members are first compared with, and how many of all these a document tries first.
-PIVOTS, TRIED = 2, 4
+#: How many of the central documents of its buckets a document is first compared with.
+TRIED = 4
 
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 BASE = 0x9E3779B97F4A7C15
-SIGNATURES = "uid long, weight long, bands array<long>"
+SIGNATURES = "uid long, weight long, bands array<long>, parities array<long>"
+#: Classes of shingles whose counts' parities are kept as bits.
+CLASSES = 1024
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -138,6 +140,16 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return out
 
 
+def parities(hashes: np.ndarray, owner: np.ndarray, n_texts: int) -> np.ndarray:
+    """One bit for each class of shingles and text: whether their count is odd, as 64-bit numbers.
+
+    Where the bits of two texts differ, their bags do: the bags differ by as many shingles at least.
+    """
+    kind = (hashes % np.uint64(CLASSES)).astype(np.int64)
+    odd = np.bincount(owner * CLASSES + kind, minlength=n_texts * CLASSES).reshape(n_texts, CLASSES) & 1
+    return np.packbits(odd.astype(bool), axis=1).view(np.int64)
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of a string column."""
     column = column.cast(pa.large_string())
@@ -153,8 +165,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes, owner = shingles(*buffers(part.column("text")))
             found = bands(signatures(hashes, owner, len(part))).view(np.int64)
             weight = np.bincount(owner, minlength=len(part))
-            lists = pa.ListArray.from_arrays(np.arange(0, found.size + 1, BANDS, dtype=np.int32), found.reshape(-1))
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "key", "uid")), pa.array(weight, pa.int64()), lists], ["doc_id", "key", "uid", "weight", "bands"])
+            lists = [pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.reshape(-1)) for x in (found, parities(hashes, owner, len(part)))]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "key", "uid")), pa.array(weight, pa.int64()), *lists], ["doc_id", "key", "uid", "weight", "bands", "parities"])
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,20 +219,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     without words form one class. Texts with fewer than five words have one shingle. Null ids sort after all others, repeated rows
     are in one class and one of them is kept. Empty tables give empty results; other columns aren't read.
 
-    Copies are one vertex. In each bucket of a band, members are first compared with few central documents (chosen by
-    hash, found by partial aggregation); each tries those with which it shares the most bands. The links so found join most
-    of every group. Then every pair of one bucket that isn't joined yet is compared, so no link between classes is lost, but
-    the pairs inside a class are never listed.
+    Copies are one vertex. Members of a bucket are first compared with its two central documents, found by partial
+    aggregation; each tries those with which it shares the most bands. The links so found join most of every group. Then
+    every pair of one bucket that isn't joined yet is compared, so no link between classes is lost, but the pairs
+    inside a class are never listed. Pairs whose parity bits show that they differ too much don't leave that join.
     """
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(text_or_empty(text_col)).alias("text"), text_key(text_col).alias("key"))
     signed = keyed.withColumn("uid", F.monotonically_increasing_id()).select("doc_id", "key", "uid", "text")
     rows = stored(signed.mapInArrow(_signed, "doc_id long, key string, " + SIGNATURES), "signed")
-    vertices = stored(rows.groupBy("key").agg(F.min("uid").alias("uid"), F.min_by("doc_id", "uid").alias("doc"), F.min_by("bands", "uid").alias("bands")), "vertices")
+    vertices = stored(rows.groupBy("key").agg(F.min("uid").alias("uid"), F.min_by("doc_id", "uid").alias("doc"), F.min_by(F.struct("weight", "bands", "parities"), "uid").alias("s")).select("uid", "key", "doc", "s.*"), "vertices")
 
     cells = vertices.select("uid", F.posexplode("bands").alias("band", "bucket"))
-    order = [F.struct(F.xxhash64("uid", "band", F.lit(k)), "uid") for k in range(PIVOTS)]
-    buckets = cells.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.array_distinct(F.array(*[F.min(o)["uid"] for o in order])).alias("pivots")).where("n > 1")
-    members = stored(cells.join(buckets, ["band", "bucket"]), "members")
+    shared = cells.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = stored(cells.join(shared, ["band", "bucket"]), "members")
+    # a central document is one that meets many others; each bucket has its most central one, and one by hash
+    central = members.groupBy("uid").agg(F.sum("n").alias("met"))
+    chosen = members.join(central, "uid").groupBy("band", "bucket").agg(F.max(F.struct("met", "uid"))["uid"].alias("p"), F.min(F.struct(F.xxhash64("uid", "band"), "uid"))["uid"].alias("q"))
+    members = members.join(chosen.select("band", "bucket", F.array_distinct(F.array("p", "q")).alias("pivots")), ["band", "bucket"])
     near = members.select("uid", F.explode("pivots").alias("pivot")).where("uid <> pivot").groupBy("uid", "pivot").agg(F.count("*").alias("shared"))
     tried = near.withColumn("n", F.row_number().over(Window.partitionBy("uid").orderBy(F.desc("shared"), "pivot"))).where(F.col("n") <= TRIED)
     first = stored(tried.select(F.least("uid", "pivot").alias("a"), F.greatest("uid", "pivot").alias("b")).distinct(), "first-pairs")
@@ -237,11 +252,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = joined.groupBy("band", "bucket", "root").agg(F.count("*").alias("n"))
     # the largest part of a bucket is compared with, all others ask
     main = parts.groupBy("band", "bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "root"))["root"].alias("main")).where("parts > 1")
-    asking = joined.join(main, ["band", "bucket"])
-    left = asking.where("root <> main").select("band", "bucket", F.col("uid").alias("x"), F.col("root").alias("root_x"), "main")
-    right = asking.select("band", "bucket", F.col("uid").alias("y"), F.col("root").alias("root_y"))
-    rest = left.join(right, ["band", "bucket"]).where("root_x <> root_y AND (root_y = main OR x < y)")
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    asking = joined.join(main, ["band", "bucket"]).join(vertices.select("uid", "weight", "parities"), "uid")
+    side_of = lambda side, *more: asking.select(*(F.col(c).alias(f"{c}_{side}") for c in ("band", "bucket", "uid", "root", "weight", "parities")), *more)
+    # with N shingles in both bags and D of them in one only, the similarity is (N - D) / (N + D): 0.8 or more needs 9 D <= N
+    differ = sum((F.bit_count(F.col("parities_x")[k].bitwiseXOR(F.col("parities_y")[k])) for k in range(CLASSES // 64)), F.lit(0))
+    limit = (1 - SIMILARITY) / (1 + SIMILARITY) * (F.col("weight_x") + F.col("weight_y")) + 1e-6
+    left, right = side_of("x", "main").where("root_x <> main"), side_of("y")
+    wanted_pair = F.expr("root_x <> root_y AND (root_y = main OR uid_x < uid_y)") & (F.greatest(differ, F.abs(F.col("weight_x") - F.col("weight_y"))) <= limit)
+    bucket = (F.col("band_x") == F.col("band_y")) & (F.col("bucket_x") == F.col("bucket_y"))
+    rest = left.join(right, bucket & wanted_pair).select(F.least("uid_x", "uid_y").alias("a"), F.greatest("uid_x", "uid_y").alias("b")).distinct()
+    rest = rest.join(first, ["a", "b"], "left_anti")
     more = stored(verify(rest, bags).select("a", "b"), "more-links")
 
     classes = components(links.unionByName(more)).withColumnRenamed("node", "uid")
