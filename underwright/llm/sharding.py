@@ -58,15 +58,16 @@ def place(df: DataFrame, key_cols: list[str], shards: list[str], slots: int = 65
     return placed.join(F.broadcast(slot_table(df.sparkSession, shards, slots)), "slot")
 
 
-def write_shards(df: DataFrame, key_cols: list[str], shards: list[str], path: str, slots: int = 65_537, parts: int = 4) -> DataFrame:
+def write_shards(df: DataFrame, key_cols: list[str], shards: list[str], path: str, slots: int = 65_537) -> DataFrame:
     """Write the placed rows as one folder per shard and return them as read back.
 
-    The rows of a shard are dealt over ``parts`` tasks by a hash of the whole row's key and slot, so one
-    shard isn't one task; a key that many rows share is dealt by the row.
+    The rows of a shard are dealt by a hash of the whole row into parts, whose number grows with the number of shuffle
+    partitions: one shard isn't one task, and a key that many rows share isn't either.
     """
     spark = df.sparkSession
     placed = place(df, key_cols, shards, slots)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(shards))
+    parts = -(-8 * tasks // len(shards))
     dealt = placed.withColumn("_part", F.pmod(F.xxhash64("row"), F.lit(parts)))
     dealt.repartition(tasks, "shard", "_part").sortWithinPartitions("shard").drop("_part").write.partitionBy("shard").parquet(path)
     return spark.read.schema(placed.schema).parquet(path)
