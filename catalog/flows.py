@@ -129,10 +129,21 @@ register("rejected_rows", sql(
 def _csv_batch_score(spark, sf):
     source, target = scratch_path(spark, "in"), scratch_path(spark, "out")
     files.sink_csv(raw(spark, sf), source)
-    batch_scoring.csv_batch_score(spark, source, target, batch_scoring.card_score)
+    batch_scoring.csv_batch_score(spark, source, target, batch_scoring.card_score, rejects=scratch_path(spark, "rejects"))
     return files.scan_csv(spark, target, "customer_id string, p_creditworthy double, p_default double, decision string, risk_tier string")
 
 
+@register("csv_rejects", sql(
+    "SELECT row_seq, customer_id, CAST(count(*) AS INTEGER) AS broken_rules FROM (SELECT DISTINCT * FROM broken) GROUP BY 1, 2", "applicants", broken=_BROKEN))
+def _csv_rejects(spark, sf):
+    source, target, rejects = (scratch_path(spark, k) for k in ("in", "out", "rejects"))
+    rows = raw(spark, sf).dropDuplicates()
+    files.sink_csv(rows, source)
+    batch_scoring.csv_batch_score(spark, source, target, batch_scoring.card_score, rejects=rejects)
+    broken = files.scan_csv(spark, rejects, f"{files.text_ddl(rows._jdf.schema().toDDL())}, violations string")
+    return broken.selectExpr("CAST(row_seq AS BIGINT) AS row_seq", "customer_id", "size(split(violations, '; ')) AS broken_rules")
+
+
 # --- profiles -------------------------------------------------------------------------------------
 
 
@@ -180,9 +191,9 @@ def _stream_dedup(spark, sf):
 
 
 def _decisions(spark, sf):
-    """Decision per event user: the first 150 customers answer for the users of the same number."""
+    """Decision per event user: the customer of the same number answers."""
     decided = scoring.score_applicants(card.scorecard_inputs(raw(spark, sf)), card.probability(digits=None))
-    return decided.selectExpr("CAST(substring(customer_id, 4, 7) AS BIGINT) AS user_id", "decision").filter("user_id < 150")
+    return decided.selectExpr("CAST(substring(customer_id, 4, 7) AS BIGINT) AS user_id", "decision")
 
 
 _REQUESTS = ("SELECT e.ts, d.decision FROM events e JOIN (SELECT CAST(substring(customer_id, 4, 7) AS BIGINT) AS user_id, decision FROM "
@@ -199,7 +210,7 @@ def _hours(df):
 @register("decision_monitor", sql(_HOURS.format(where=""), "scored_raw", req=_REQUESTS))
 def _decision_monitor(spark, sf):
     events = table(spark, sf, "events").selectExpr("CAST(ts AS timestamp) AS ts", "user_id")
-    return _hours(streams.decision_monitor(events.join(F.broadcast(_decisions(spark, sf)), "user_id")))
+    return _hours(streams.decision_monitor(events.join(_decisions(spark, sf), "user_id")))
 
 
 @register("decision_monitor_stream", sql(_HOURS.format(
@@ -208,8 +219,8 @@ def _decision_monitor_stream(spark, sf):
     """Closed windows only: the watermark trails the newest request by ten minutes."""
     feed, out, checkpoint = (scratch_path(spark, k) for k in ("feed", "out", "chk"))
     table(spark, sf, "events").selectExpr("CAST(ts AS timestamp) AS ts", "user_id").write.parquet(feed)
-    decisions = materialise(_decisions(spark, sf), "decisions")  # at most 150 rows
-    requests = spark.readStream.schema("ts timestamp, user_id bigint").parquet(feed).join(F.broadcast(decisions), "user_id")
+    decisions = materialise(_decisions(spark, sf), "decisions")
+    requests = spark.readStream.schema("ts timestamp, user_id bigint").parquet(feed).join(decisions, "user_id")
     monitor = streams.decision_monitor(requests, delay="10 minutes")
     monitor.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(
         availableNow=True).start().awaitTermination()

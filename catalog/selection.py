@@ -34,7 +34,7 @@ _NUM_PAIRS = " UNION ALL ".join(
 
 
 @register("corr_pairs", sql(
-    "SELECT a, b, round(r, 3) AS r, a AS drop_candidate FROM pr WHERE abs(r) > 0.9e0", "features", **_TR, pr=_NUM_PAIRS))
+    "SELECT a, b, round(abs(r), 3) AS r, a AS drop_candidate FROM pr WHERE abs(r) > 0.9e0", "features", **_TR, pr=_NUM_PAIRS))
 def _corr_pairs(spark, sf):
     table, _ = matrix_rows(spark, sf)
     return sel.corr_pairs(table, _NUM)
@@ -116,7 +116,7 @@ _LISTS = {
     "consensus": "SELECT * FROM votes WHERE votes >= 2",
     "prs": " UNION ALL ".join(
         f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM cleaned" for i, a in enumerate(NUMERIC) for b in NUMERIC[i + 1:]),
-    "pruned": "SELECT DISTINCT CASE WHEN coalesce(x.mi, 0) < coalesce(y.mi, 0) THEN a ELSE b END AS feature FROM prs LEFT JOIN mir x ON "
+    "pruned": "SELECT DISTINCT CASE WHEN coalesce(y.mi, 0) < coalesce(x.mi, 0) THEN b ELSE a END AS feature FROM prs LEFT JOIN mir x ON "
               "x.feature = a LEFT JOIN mir y ON y.feature = b WHERE abs(r) > 0.5e0 AND a IN (SELECT feature FROM consensus) AND b IN "
               "(SELECT feature FROM consensus)",
     "low": " UNION ALL ".join(f"SELECT '{c}' AS feature FROM cleaned HAVING var_pop({c}) < 0.01e0" for c in NUMERIC),

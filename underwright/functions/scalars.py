@@ -6,6 +6,7 @@ instead of one per operator. NULL is the only missing value; NaN is turned into
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame
@@ -18,7 +19,9 @@ TOP_RISK_TIER = "Very High Risk"
 
 def number(x: float | None) -> str:
     """Double literal."""
-    return "CAST(NULL AS DOUBLE)" if x is None else f"{float(x)!r}D"
+    if x is None:
+        return "CAST(NULL AS DOUBLE)"
+    return f"{float(x)!r}D" if math.isfinite(x) else f"CAST('{float(x)!r}' AS DOUBLE)"
 
 
 def text(x: str | None) -> str:

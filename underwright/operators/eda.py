@@ -221,4 +221,4 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return long_rows(row, [{
         "feature": text(c), "lower": f"round({number(lo)}, 2)", "upper": f"round({number(hi)}, 2)",
         "outliers": name(c + "_o"), "outlier_pct": f"round({name(c + '_o')} * 100D / {name(c + '_n')}, 2)",
-    } for c, (lo, hi) in bounds.items()]).orderBy(F.desc("outliers"), "feature")
+    } for c, (lo, hi) in bounds.items()]).orderBy(F.desc("outlier_pct"), "feature")

@@ -32,10 +32,9 @@ def inject_outliers(df: DataFrame, column: str = "monthly_income", share: float
                     factor: float = OUTLIER_FACTOR, seed: int = 42, id_col: str = ID) -> DataFrame:
     """Multiply an exact number of present values, the first ones in a seeded hash order."""
     count = max(1, int(df.count() * share))
-    present = hash_ranked(df.filter(f"{name(column)} IS NOT NULL").select(id_col), id_col, f"{seed}|outlier", rank="_rank")
-    chosen = present.filter(f"_rank <= {count}").selectExpr(id_col, "true AS _chosen")
-    joined = df.join(chosen, id_col, "left")
-    return with_exprs(joined, {column: f"IF(_chosen, {name(column)} * {number(factor)}, {name(column)})"}).select(*df.columns)
+    present = hash_ranked(df.filter(f"{name(column)} IS NOT NULL"), id_col, f"{seed}|outlier", rank="_rank")
+    changed = with_exprs(present, {column: f"IF(_rank <= {count}, {name(column)} * {number(factor)}, {name(column)})"})
+    return changed.select(*df.columns).unionByName(df.filter(f"{name(column)} IS NULL"))
 
 
 def inject_duplicates(df: DataFrame, share: float = DUPLICATE_SHARE, seed: int = 42, id_col: str = ID) -> DataFrame:

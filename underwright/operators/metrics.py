@@ -1,9 +1,9 @@
 """Classification metrics from one count per distinct score.
 
-A score set has the columns (y, p) and any grouping columns, such as ``model``. ``score_counts`` rounds
-p to six decimals and counts both classes per score, so a group has at most 1,000,001 rows whatever the
-size of the input, and a score shared by a third of all rows is one row. Every metric below starts from
-those counts; running sums go through whole-per-mille buckets of at most 1,000 scores.
+A score set has the columns (y, p) and any grouping columns, such as ``model``. ``score_counts`` counts both
+classes per exact score, so a score shared by a third of all rows is one row. Every metric below starts from
+those counts; running sums go through buckets between quantiles of the scores, so scores that crowd in a small
+interval still spread. One rule, ``p >= threshold``, approves everywhere.
 """
 
 from __future__ import annotations
@@ -17,10 +17,12 @@ from underwright.functions.ranking import HASH_DIGITS, prefix_sum, window
 from underwright.functions.scalars import hash_order, long_rows, number
 
 COST_FP, COST_FN = 5.0, 1.0
-MICRO = 1_000_000
 THRESHOLDS = 99
 DECILES = 10
-UNITS = f"CAST(round(p * {MICRO}) AS BIGINT)"
+BUCKETS = 256  # intervals between score quantiles
+#: The highest whole percent k with k / 100 <= p.
+PERCENT = ("CAST(greatest(0, least(100, CASE WHEN (floor(p * 100) + 1) / 100D <= p THEN floor(p * 100) + 1 "
+           "WHEN floor(p * 100) / 100D > p THEN floor(p * 100) - 1 ELSE floor(p * 100) END)) AS INT)")
 GOOD = "CAST(y AS BIGINT)"
 
 
@@ -29,17 +31,22 @@ def _aggregate(df: DataFrame, by: Sequence[str], exprs: Sequence[str]) -> DataFr
 
 
 def score_counts(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Rows per score as (by..., u, p, n1, n0); u is p in millionths. Rows without score or label do not count."""
-    counts = scores.filter("p IS NOT NULL AND y IS NOT NULL").selectExpr(
-        *by, f"coalesce({UNITS}, 0L) AS u", f"{GOOD} AS y").groupBy(*by, "u").agg(
-        F.expr("sum(y) AS n1"), F.expr("sum(1 - y) AS n0"))
-    return counts.selectExpr(*by, "u", f"u / {number(MICRO)} AS p", "n1", "n0")
+    """Rows per exact score as (by..., p, n1, n0). Rows without score or label do not count."""
+    rows = scores.filter("p IS NOT NULL AND y IS NOT NULL").selectExpr(*by, "CAST(p AS DOUBLE) AS p", f"{GOOD} AS y")
+    return rows.groupBy(*by, "p").agg(F.expr("sum(y) AS n1"), F.expr("sum(1 - y) AS n0"))
+
+
+def _in_buckets(rows: DataFrame, bucket: str) -> DataFrame:
+    """Append the number of score quantiles at or below p; the quantiles are one broadcast row of fixed length."""
+    shares = ", ".join(f"{k / BUCKETS!r}D" for k in range(1, BUCKETS))
+    edges = rows.selectExpr(f"percentile_approx(p, array({shares}), {16 * BUCKETS}) AS _edges")
+    return rows.join(F.broadcast(edges)).selectExpr("*", f"coalesce(size(filter(_edges, e -> e <= p)), 0) AS {bucket}").drop("_edges")
 
 
 def _attach(df: DataFrame, row: DataFrame, by: Sequence[str]) -> DataFrame:
     """Join per-group constants; without groups ``row`` has exactly one row.
 
-    A group of ``df`` has at most 1,000,001 rows, so the join is safe whichever way Spark runs it.
+    ``row`` has one row per group; a group's distinct scores that outgrow one task are split by the skew join.
     """
     return df.join(row, list(by)) if by else df.join(F.broadcast(row))
 
@@ -47,11 +54,10 @@ def _attach(df: DataFrame, row: DataFrame, by: Sequence[str]) -> DataFrame:
 def _cumulative(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     """Counts plus inclusive running sums c1, c0 along rising p and the group totals t1, t0, as doubles."""
     groups = {f"_g{i}": f"coalesce(CAST({c} AS STRING), '')" for i, c in enumerate(by)}
-    bucketed = counts.selectExpr(*by, "u", "p", "n1", "n0", "coalesce(CAST(floor(u / 1000) AS BIGINT), 0L) AS _b",
-                                 *[f"{e} AS {g}" for g, e in groups.items()])
-    running = prefix_sum(bucketed, {"c1": "n1", "c0": "n0"}, ["u"], ["_b"], list(groups), {"t1": "n1", "t0": "n0"})
+    bucketed = _in_buckets(counts, "_b").selectExpr(*by, "p", "n1", "n0", "_b", *[f"{e} AS {g}" for g, e in groups.items()])
+    running = prefix_sum(bucketed, {"c1": "n1", "c0": "n0"}, ["p"], ["_b"], list(groups), {"t1": "n1", "t0": "n0"})
     return running.selectExpr(
-        *by, "u", "p", *[f"CAST({c} AS DOUBLE) AS {c}" for c in ("n1", "n0", "c1", "c0", "t1", "t0")])
+        *by, "p", *[f"CAST({c} AS DOUBLE) AS {c}" for c in ("n1", "n0", "c1", "c0", "t1", "t0")])
 
 
 # --- confusion and its ratios ---------------------------------------------------------------------
@@ -150,7 +156,7 @@ def brier(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def _from_the_top(scores: DataFrame, by: Sequence[str]) -> DataFrame:
     """Per distinct score: good and bad rows scored that high or higher, and totals."""
     return _cumulative(score_counts(scores, by), by).selectExpr(
-        *by, "u", "p", "n1", "n0", "t1 - c1 + n1 AS tp", "t0 - c0 + n0 AS fp", "t1", "t0")
+        *by, "p", "n1", "n0", "t1 - c1 + n1 AS tp", "t0 - c0 + n0 AS fp", "t1", "t0")
 
 
 def roc_points(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -192,7 +198,7 @@ def threshold_sweep(scores: DataFrame, by: Sequence[str] = (), cost_fp: float =
 
 
 def _sweep(counts: DataFrame, by: Sequence[str], cost_fp: float, cost_fn: float) -> DataFrame:
-    hist = counts.selectExpr(*by, f"CAST(floor(u / {MICRO // 100}) AS INT) AS k", "n1", "n0").groupBy(*by, "k").agg(
+    hist = counts.selectExpr(*by, f"{PERCENT} AS k", "n1", "n0").groupBy(*by, "k").agg(
         F.expr("sum(n1) AS n1"), F.expr("sum(n0) AS n0"))
     # at most 101 cells per group, laid out over the whole grid
     packed = _aggregate(hist, by, ["map_from_entries(collect_list(struct(k, struct(n1, n0)))) AS m"]).filter("size(m) > 0")
@@ -285,9 +291,9 @@ def gain_curve(scores: DataFrame, id_col: str = "customer_id", seed: int = 42) -
     many rows share, so no window holds such a group whole.
     """
     rows = scores.filter("p IS NOT NULL AND y IS NOT NULL").selectExpr(
-        id_col, "p", f"1 - {GOOD} AS bad", "1L AS one", f"coalesce({UNITS}, 0L) AS u", f"{hash_order(id_col, seed)} AS h")
-    rows = rows.selectExpr("*", "coalesce(CAST(floor(u / 1000) AS BIGINT), 0L) AS b0", f"substring(h, 1, {HASH_DIGITS}) AS b1")
-    ranked = prefix_sum(rows, {"rank": "one", "found": "bad"}, ["h", id_col], ["b0", "u", "b1"], (), {"n": "one", "t0": "bad"})
+        id_col, "coalesce(CAST(p AS DOUBLE), 0D) AS p", f"1 - {GOOD} AS bad", "1L AS one", f"{hash_order(id_col, seed)} AS h")
+    rows = _in_buckets(rows, "b0").selectExpr("*", f"substring(h, 1, {HASH_DIGITS}) AS b1")
+    ranked = prefix_sum(rows, {"rank": "one", "found": "bad"}, ["h", id_col], ["b0", "p", "b1"], (), {"n": "one", "t0": "bad"})
     return ranked.selectExpr(
         id_col, "p", "rank", "round(rank / n, 6) AS population_share", "round(try_divide(found, t0), 6) AS capture",
         "n", "found", "t0")

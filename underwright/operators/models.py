@@ -165,7 +165,7 @@ def model_registry(n_rows: int, seed: int = SEED, effort: float = 1.0) -> dict[s
         "Decision Tree": lambda: DecisionTreeClassifier(
             featuresCol="features", labelCol="label", weightCol="weight", maxDepth=8, seed=seed),
         "Random Forest": lambda: RandomForestClassifier(
-            featuresCol="features", labelCol="label", weightCol="weight", numTrees=rounds(200), maxDepth=12, seed=seed),
+            featuresCol="features", labelCol="label", weightCol="weight", numTrees=rounds(200), maxDepth=30, seed=seed),
         "Gradient Boosting": lambda: boosted(rounds(200), 3, seed=seed),
         "XGBoost": lambda: boosted(rounds(300), 4, weight="pos_weight", subsample=0.9, columns=0.9, seed=seed),
         "LightGBM": lambda: boosted(rounds(300), 5, weight="pos_weight", subsample=0.9, columns=0.9, seed=seed),

@@ -132,7 +132,7 @@ def summarise_violations(bad: DataFrame, id_col: str = ID) -> DataFrame:
 
 
 def validate(df: DataFrame, strict: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(valid rows, rejected rows with their violations); ``strict`` raises if any row is rejected."""
+    """(valid rows with numbers as doubles, rejected rows with their violations); ``strict`` raises if any row is rejected."""
     check_columns(df)
     conditions = _conditions(df)
     broken = " OR ".join(f"coalesce({condition}, false)" for _, _, condition in conditions)
@@ -144,7 +144,8 @@ def validate(df: DataFrame, strict: bool = True) -> tuple[DataFrame, DataFrame]:
         failed = validation_summary(keyed).orderBy("feature", "rule").collect()
         if failed:
             raise InvalidInputError("input validation failed: " + " | ".join(r["message"] for r in failed))
-    return df.filter(f"NOT ({broken})"), rejected
+    typed = [f"try_cast({c} AS DOUBLE) AS {c}" if c in NUMERIC_RULES and _is_text(df, c) else f"`{c}`" for c in df.columns]
+    return df.filter(f"NOT ({broken})").selectExpr(*typed), rejected
 
 
 def score_exprs(p: str, threshold: float) -> list[str]:

@@ -17,6 +17,7 @@ from underwright.operators.eda import pearson_pairs
 from underwright.operators.explain import permutation_importance
 from underwright.operators.models import SEED, positive_scores
 from underwright.operators.splits import holdout_80_20
+from underwright.operators.transforms import class_weights, with_class_weight
 from underwright.session import materialise
 from underwright.sources.contract import ID, TARGET
 
@@ -30,9 +31,9 @@ SELECTION_REPEATS = 5
 
 
 def corr_pairs(df: DataFrame, columns: Sequence[str], limit: float = CORRELATION_LIMIT) -> DataFrame:
-    """Column pairs above the correlation limit (3 digits); the earlier column is the drop candidate."""
+    """Column pairs above the limit with their absolute correlation (3 digits); the earlier column is the drop candidate."""
     pairs = pearson_pairs(df, columns).filter(f"abs(r) > {number(limit)}")
-    return pairs.selectExpr("a", "b", "round(r, 3) AS r", "a AS drop_candidate")
+    return pairs.selectExpr("a", "b", "round(abs(r), 3) AS r", "a AS drop_candidate")
 
 
 def variance_filter(df: DataFrame, columns: Sequence[str], limit: float = VARIANCE_LIMIT) -> DataFrame:
@@ -100,10 +101,11 @@ def rfe(df: DataFrame, columns: Sequence[str], keep: int = TOP_K, target: str =
         step: int = 1) -> list[str]:
     """Recursive elimination: refit a logistic regression without its smallest coefficient until ``keep`` remain."""
     left = list(columns)
-    rows = with_exprs(df, {"label": f"CAST({target} AS DOUBLE)"}).select("label", *columns)
+    weighted = with_class_weight(df, target, class_weights(df, target))
+    rows = with_exprs(weighted, {"label": f"CAST({target} AS DOUBLE)"}).select("label", "weight", *columns)
     n = rows.count()
     while len(left) > keep:
-        model = LogisticRegression(labelCol="label", standardization=False, regParam=1.0 / n, maxIter=max_iter).fit(
+        model = LogisticRegression(labelCol="label", weightCol="weight", standardization=False, regParam=1.0 / n, maxIter=max_iter).fit(
             _assembled(rows, left))
         order = sorted(zip(np.abs(model.coefficients.toArray()), left))
         dropped = {c for _, c in order[:min(step, len(left) - keep)]}
@@ -112,12 +114,16 @@ def rfe(df: DataFrame, columns: Sequence[str], keep: int = TOP_K, target: str =
 
 
 def permutation_select(df: DataFrame, columns: Sequence[str], trees: int = 200, repeats: int = SELECTION_REPEATS,
-                       seed: int = SEED, target: str = TARGET) -> DataFrame:
-    """Permutation importance of a forest fitted on 80% of the rows, measured on the other 20%."""
+                       seed: int = SEED, target: str = TARGET, max_depth: int = 30) -> DataFrame:
+    """Permutation importance of a balanced forest fitted on 80% of the rows, measured on the other 20%.
+
+    ``max_depth`` is the largest that Spark's forests allow.
+    """
     columns = list(columns)
     rows = holdout_80_20(df.select(ID, target, *columns), seed, ID, target)
-    labelled = with_exprs(rows, {"label": f"CAST({target} AS DOUBLE)"})
-    forest = RandomForestClassifier(labelCol="label", numTrees=trees, maxDepth=10, seed=seed).fit(
+    weights = class_weights(rows.filter("split = 'train'"), target)
+    labelled = with_class_weight(with_exprs(rows, {"label": f"CAST({target} AS DOUBLE)"}), target, weights)
+    forest = RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=trees, maxDepth=max_depth, seed=seed).fit(
         _assembled(labelled.filter("split = 'train'"), columns))
 
     def score(part: DataFrame) -> DataFrame:
@@ -145,14 +151,14 @@ def vote_consensus(*lists: DataFrame, votes: int = MIN_VOTES) -> DataFrame:
 
 
 def redundancy_prune(pairs: DataFrame, consensus: DataFrame, mi: DataFrame) -> DataFrame:
-    """Of each correlated pair inside the consensus, the feature with less mutual information (tie: b)."""
+    """Of each correlated pair inside the consensus, the feature with less mutual information (tie: a, the earlier one)."""
     kept = F.broadcast(consensus.select("feature"))  # one row per column of the matrix
     inside = pairs.join(kept.withColumnRenamed("feature", "a"), "a", "left_semi").join(
         kept.withColumnRenamed("feature", "b"), "b", "left_semi")
     known = F.broadcast(mi.select("feature", "mi"))
     left = inside.join(known.withColumnsRenamed({"feature": "a", "mi": "mi_a"}), "a", "left")
     both = left.join(known.withColumnsRenamed({"feature": "b", "mi": "mi_b"}), "b", "left")
-    return both.selectExpr("IF(coalesce(mi_a, 0D) < coalesce(mi_b, 0D), a, b) AS feature").distinct()
+    return both.selectExpr("IF(coalesce(mi_b, 0D) < coalesce(mi_a, 0D), b, a) AS feature").distinct()
 
 
 def final_selected(consensus: DataFrame, pruned: DataFrame, variances: DataFrame) -> DataFrame:

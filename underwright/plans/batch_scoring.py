@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from underwright.functions.scalars import with_exprs
-from underwright.operators.scoring import DEFAULT_THRESHOLD, reason_codes, score_applicants, validate
+from underwright.operators.scoring import DEFAULT_THRESHOLD, InvalidInputError, reason_codes, score_applicants, validate
 from underwright.sources.contract import APPLICANT_DDL, ID
-from underwright.sources.files import scan_csv, sink_csv
+from underwright.sources.files import CORRUPT, scan_csv, sink_csv, text_ddl
 from underwright.sources.scorecard import TERM_INPUTS, TERM_NAMES, probability, term_contribution
 
 Score = Callable[[DataFrame], DataFrame]
@@ -53,7 +53,19 @@ def predict_batch(df: DataFrame, score: Score, threshold: float = DEFAULT_THRESH
 
 
 def csv_batch_score(spark: SparkSession, source: str, target: str, score: Score, threshold: float = DEFAULT_THRESHOLD,
-                    ddl: str = APPLICANT_DDL) -> None:
-    """Score a CSV file into another one; broken rows are left out of it."""
-    decisions, _ = predict_batch(scan_csv(spark, source, ddl), score, threshold, strict=False)
+                    ddl: str = APPLICANT_DDL, rejects: str | None = None) -> None:
+    """Score a CSV file into another one.
+
+    All columns are read as text, so a value that isn't a number breaks the contract instead of being missing. Without
+    ``rejects`` any broken row or line fails the batch. With it, those are written there as they were read, with their
+    violations, and decisions and rejects together have every line of the source.
+    """
+    rows = scan_csv(spark, source, text_ddl(ddl), keep_corrupt=True)
+    whole, unreadable = rows.filter(f"{CORRUPT} IS NULL").drop(CORRUPT), rows.filter(f"{CORRUPT} IS NOT NULL")
+    if rejects is None and (line := unreadable.first()):  # all columns: Spark reads no CSV for this one alone
+        raise InvalidInputError(f"unreadable line: {line[CORRUPT]}")
+    decisions, rejected = predict_batch(whole, score, threshold, strict=rejects is None)
     sink_csv(decisions, target)
+    if rejects is not None:
+        broken = rejected.withColumn("violations", F.concat_ws("; ", "violations"))
+        sink_csv(broken.unionByName(unreadable.withColumn("violations", F.concat(F.lit("unreadable line: "), CORRUPT)).drop(CORRUPT)), rejects)

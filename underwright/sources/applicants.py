@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from underwright.sources.contract import COLUMN_NAMES
 
-EVENT_USERS = 150
+CUSTOMERS_PER_USER = 10
 
 # Column layout of the source tables, declared so that no file is opened to infer it.
 TABLE_DDL = {
@@ -94,10 +94,10 @@ def order_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def click_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Large clicks per event user; customers map to users 0..149 only."""
+    """Large clicks per event user."""
     return (
         table(spark, sf_dir, "events")
-        .filter(f"event_type = 'click' AND value > 100 AND user_id BETWEEN 0 AND {EVENT_USERS - 1}")
+        .filter("event_type = 'click' AND value > 100")
         .groupBy("user_id").agg(F.expr("count(*) AS clicks"))
     )
 
@@ -106,10 +106,10 @@ def applicants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw applicants, one row per customer plus exact and same-id duplicates."""
     customers = table(spark, sf_dir, "customer").selectExpr(
         "c_custkey AS ck", "c_acctbal AS bal", "c_nationkey AS nk", "c_mktsegment AS seg",
-        f"c_custkey % {EVENT_USERS} AS user_id")
+        f"CAST(floor(c_custkey / {CUSTOMERS_PER_USER}) AS BIGINT) AS user_id")
     base = (
         customers.join(order_history(spark, sf_dir), "ck", "left")
-        .join(F.broadcast(click_history(spark, sf_dir)), "user_id", "left")
+        .join(click_history(spark, sf_dir), "user_id", "left")
         .fillna(0, ["n_orders", "late", "dflt", "clicks"])
     )
     copies = ("explode(concat(array('plain'), IF(ck % 125 = 0, array('same'), array()), "

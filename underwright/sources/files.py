@@ -10,6 +10,7 @@ from datetime import datetime, timezone
 import pyspark
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 from pyspark.sql import functions as F
 
 from underwright.sources.contract import APPLICANT_DDL, ID
@@ -22,11 +23,19 @@ METADATA_DDL = (
 
 
 def scan_csv(spark: SparkSession, path: str, ddl: str = APPLICANT_DDL, keep_corrupt: bool = False) -> DataFrame:
-    """CSV with a header under a declared schema; a line that does not parse keeps its text in one column."""
-    schema = f"{ddl}, {CORRUPT} string"
-    rows = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option(
-        "columnNameOfCorruptRecord", CORRUPT).csv(path)
-    return rows if keep_corrupt else rows.drop(CORRUPT)
+    """CSV with a header under a declared schema.
+
+    A line that does not parse fails the read, or with ``keep_corrupt`` is a row with its text in one more column.
+    """
+    rows = spark.read.option("header", True)
+    if not keep_corrupt:
+        return rows.schema(ddl).option("mode", "FAILFAST").csv(path)
+    return rows.schema(f"{ddl}, {CORRUPT} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(path)
+
+
+def text_ddl(ddl: str = APPLICANT_DDL) -> str:
+    """The same columns, all read as text."""
+    return ", ".join(f"`{field.name}` string" for field in StructType.fromDDL(ddl))
 
 
 def sink_csv(df: DataFrame, path: str) -> None:

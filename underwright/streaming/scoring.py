@@ -31,10 +31,12 @@ def score_stream(stream: DataFrame, score: Callable[[DataFrame], DataFrame], dec
 
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()
-        scored, rejected = predict_batch(batch, score, threshold, strict=False, keep=keep)
-        scored.write.mode("overwrite").parquet(f"{decisions}/batch={number}")
-        rejected.write.mode("overwrite").parquet(f"{rejects}/batch={number}")
-        batch.unpersist()
+        try:
+            scored, rejected = predict_batch(batch, score, threshold, strict=False, keep=keep)
+            scored.write.mode("overwrite").parquet(f"{decisions}/batch={number}")
+            rejected.write.mode("overwrite").parquet(f"{rejects}/batch={number}")
+        finally:
+            batch.unpersist()
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
