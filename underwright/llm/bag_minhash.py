@@ -252,13 +252,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = joined.groupBy("band", "bucket", "root").agg(F.count("*").alias("n"))
     # the largest part of a bucket is compared with, all others ask
     main = parts.groupBy("band", "bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "root"))["root"].alias("main")).where("parts > 1")
-    asking = joined.join(main, ["band", "bucket"]).join(vertices.select("uid", "weight", "parities"), "uid")
-    side_of = lambda side, *more: asking.select(*(F.col(c).alias(f"{c}_{side}") for c in ("band", "bucket", "uid", "root", "weight", "parities")), *more)
+    asking = joined.join(main, ["band", "bucket"]).join(vertices.select("uid", "weight", "parities", "bands"), "uid")
+    side_of = lambda side, *more: asking.select(*(F.col(c).alias(f"{c}_{side}") for c in ("band", "bucket", "uid", "root", "weight", "parities", "bands")), *more)
     # with N shingles in both bags and D of them in one only, the similarity is (N - D) / (N + D): 0.8 or more needs 9 D <= N
     differ = sum((F.bit_count(F.col("parities_x")[k].bitwiseXOR(F.col("parities_y")[k])) for k in range(CLASSES // 64)), F.lit(0))
     limit = (1 - SIMILARITY) / (1 + SIMILARITY) * (F.col("weight_x") + F.col("weight_y")) + 1e-6
     left, right = side_of("x", "main").where("root_x <> main"), side_of("y")
     wanted_pair = F.expr("root_x <> root_y AND (root_y = main OR uid_x < uid_y)") & (F.greatest(differ, F.abs(F.col("weight_x") - F.col("weight_y"))) <= limit)
+    # a pair that shares several buckets leaves the join in the first of them only
+    for k in range(BANDS):
+        wanted_pair &= (F.col("band_x") <= k) | (F.col("bands_x")[k] != F.col("bands_y")[k])
     bucket = (F.col("band_x") == F.col("band_y")) & (F.col("bucket_x") == F.col("bucket_y"))
     rest = left.join(right, bucket & wanted_pair).select(F.least("uid_x", "uid_y").alias("a"), F.greatest("uid_x", "uid_y").alias("b")).distinct()
     rest = rest.join(first, ["a", "b"], "left_anti")
