@@ -29,7 +29,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 WORD = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n+")
 #: Bytes of text whose words are matched at once.
-AT_ONCE = 8 << 20
+AT_ONCE = 5 << 20
 NEVER = np.int64(2**40)
 WIDE = 2**32
 ENCODED = "doc_id long, n_chars long, n_tokens long, ids array<int>"
