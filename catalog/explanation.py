@@ -46,7 +46,7 @@ register("linear_shap", sql(" UNION ALL ".join(
     for t, w in _COEF.items()), "dedup", card=_CARD_SQL))(
     lambda spark, sf: round_doubles(explain.linear_shap(card_rows(spark, sf), _COEF)))
 
-_REPEATS = 3
+_REPEATS = 10
 _SHUFFLED = " UNION ALL ".join(
     "SELECT repeat, '{f}' AS feature, y, {p} AS p FROM (SELECT b.repeat, b.y, {cols} FROM base b JOIN donor d ON d.repeat = b.repeat AND "
     "d.pos = b.pos)".format(f=f, p=_P, cols=", ".join(f"d.{t}" if t == f else f"b.{t}" for t in _COEF)) for f in _COEF)
@@ -70,10 +70,11 @@ register("permutation_importance", sql(
     sh=_SHUFFLED, aucs=_auc("sh", "feature, repeat"), plain=f"SELECT creditworthy AS y, {_P} AS p FROM card", whole=_auc("plain", "")))(
     lambda spark, sf: explain.permutation_importance(card_rows(spark, sf), card.TERM_NAMES, card_score, _REPEATS))
 
-_PDP = ("score", "util")
+_PDP = ("score", "util", "pc", "dti")
 _GRID = " UNION ALL ".join(
-    f"SELECT '{f}' AS feature, lo + (hi - lo) * k / 29e0 AS x FROM (SELECT quantile_cont({f}, 0.05) AS lo, quantile_cont({f}, 0.95) AS hi FROM "
-    "card), (SELECT unnest(range(0, 30)) AS k)" for f in _PDP)
+    f"SELECT '{f}' AS feature, lo + (hi - lo) * k / 29e0 AS x FROM (SELECT quantile_cont({f}, 0.05) AS lo, quantile_cont({f}, 0.95) AS hi, "
+    f"count(DISTINCT {f}) AS d FROM card), (SELECT unnest(range(0, 30)) AS k) WHERE d >= 30 UNION ALL SELECT DISTINCT '{f}', {f} FROM card "
+    f"WHERE (SELECT count(DISTINCT {f}) FROM card) < 30" for f in _PDP)
 _PDP_SQL = " UNION ALL ".join(
     "SELECT feature, {x} AS x, {m} AS mean_p FROM (SELECT g.feature, g.x, {p} AS p FROM (SELECT g.feature, g.x, {cols} FROM card c, grid g WHERE "
     "g.feature = '{f}') g) GROUP BY feature, x".format(
@@ -112,7 +113,7 @@ def _pdp_cross(spark, sf):
 def _shap_importance(spark, sf):
     matrix, train, validation, model = _fitted(spark, sf)
     sample = explain.shap_sample(_arrays(validation))
-    values = explain.shap_values(sample, _arrays(train), matrix.names, explain.model_margin(model, matrix.names), 2)
+    values = explain.shap_values(sample, _arrays(train), matrix.names, explain.model_margin(model, matrix.names))
     return round_doubles(explain.shap_importance(values))
 
 
@@ -122,7 +123,7 @@ def _lime_local(spark, sf):
     picked = explain.pick_scenarios(models.positive_scores(model.transform(validation)), 0.64).select("customer_id")
     rows = _arrays(validation).join(picked, "customer_id")
     flat = _arrays(train).selectExpr(*[f"x[{i}] AS `{n}`" for i, n in enumerate(matrix.names)])
-    return round_doubles(explain.lime_local(rows, flat, matrix.names, explain.model_margin(model, matrix.names), 1000))
+    return round_doubles(explain.lime_local(rows, flat, matrix.names, explain.model_margin(model, matrix.names)))
 
 
 @register("model_reason_codes")

@@ -30,7 +30,7 @@ _PROBS = (0.01, 0.25, 0.5, 0.9, 0.99)
 def _exact_quantiles(spark, sf):
     """The interval-narrowing path, whatever the row count."""
     rows = materialise(cleaned(spark, sf).select(*NUMERIC), "numbers")
-    found = exact_quantiles(rows, NUMERIC, _PROBS, small_rows=0)
+    found = exact_quantiles(rows, NUMERIC, _PROBS)
     names = ", ".join(f"q{round(q * 100)} double" for q in _PROBS)
     return round_doubles(spark.createDataFrame([(c, *map(float, v)) for c, v in found.items()], f"`column` string, {names}"))
 

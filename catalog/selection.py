@@ -77,7 +77,7 @@ register("mutual_information", sql(f"SELECT feature, {r('mi')} AS mi FROM mi", "
 @register("rfe")
 def _rfe(spark, sf):
     table, names = matrix_rows(spark, sf)
-    return spark.createDataFrame([(c,) for c in sel.rfe(table, names, 25, max_iter=30, step=5)], "feature string")
+    return spark.createDataFrame([(c,) for c in sel.rfe(table, names, 25)], "feature string")
 
 
 @register("permutation_select")

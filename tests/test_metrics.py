@@ -80,8 +80,10 @@ def test_quantiles_by_narrowing_equal_the_sorted_ones(spark, kind):
         x[:3] = 1e300, -1e300, 5e-324
     probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
     df = spark.createDataFrame([(float(v), None if i % 3 else float(-v)) for i, v in enumerate(x)], "x double, z double")
-    found = exact_quantiles(df, ["x", "z"], probs, small_rows=0)
-    assert found == exact_quantiles(df, ["x", "z"], probs)
+    found = exact_quantiles(df, ["x", "z"], probs)
+    listed = ", ".join(f"{q}D" for q in probs)
+    row = df.selectExpr(*[f"percentile({c}, array({listed})) AS {c}" for c in "xz"]).first()
+    assert found == {c: list(row[c]) for c in "xz"}
     assert np.allclose(found["x"], np.quantile(x, probs), rtol=1e-12)
     assert np.allclose(found["z"], np.quantile(-x[::3], probs), rtol=1e-12)
 
@@ -89,7 +91,19 @@ def test_quantiles_by_narrowing_equal_the_sorted_ones(spark, kind):
 def test_quantiles_of_an_empty_column(spark):
     df = spark.createDataFrame([(None,), (float("nan"),)], "x double")
     assert exact_quantiles(df, ["x"], [0.5]) == {"x": [None]}
-    assert exact_quantiles(df, ["x"], [0.5], small_rows=0) == {"x": [None]}
+
+
+def test_quantiles_of_infinite_values(spark):
+    low, high = float("-inf"), float("inf")
+    rows = [(low, 1.0, high), (1.0, 2.0, high), (2.0, high, high), (3.0, high, high), (high, None, high)]
+    df = spark.createDataFrame(rows, "x double, y double, z double")
+    found = exact_quantiles(df, ["x", "y", "z"], [0.0, 0.25, 0.5, 1.0])
+    assert found == {"x": [low, 1.0, 2.0, high], "y": [1.0, 1.75, high, high], "z": [high] * 4}
+
+
+def test_quantiles_of_the_smallest_numbers(spark):
+    df = spark.createDataFrame([(k * 5e-324,) for k in range(5)], "x double")
+    assert exact_quantiles(df, ["x"], [0.0, 0.25, 0.5, 1.0]) == {"x": [0.0, 5e-324, 1e-323, 2e-323]}
 
 
 def test_prefix_sum_by_buckets_equals_a_plain_running_sum(spark):

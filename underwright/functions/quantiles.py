@@ -1,34 +1,33 @@
 """Exact interpolated quantiles of many columns at once.
 
-``percentile`` keeps every distinct value of a column in one task, which is fine up to a counted
-row limit and not beyond. Larger inputs narrow an interval around each wanted rank: every pass
-counts rows per sub-interval (partial aggregation, a few thousand rows leave each task) and keeps
-the sub-interval that holds the rank, until it contains a single value. All columns and ranks share
-the passes, so the number of scans grows with the logarithm of the row count.
+An interval around each wanted rank is narrowed: every pass counts rows per sub-interval inside the tasks (Arrow
+batches; ``HISTOGRAM_CELLS`` rows at most leave each) and keeps the sub-interval that holds the rank, until it contains a single value. All
+columns and ranks share the passes, so the number of scans grows with the logarithm of the row count. No task holds
+the values of a column, whatever the size of the table.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from underwright.functions.scalars import name, number
 
-SMALL_ROWS = 1_000_000
 HISTOGRAM_CELLS = 65_536
 
 
 def exact_quantiles(df: DataFrame, columns: Mapping[str, str] | Sequence[str],
                     probs: Sequence[float] | Mapping[str, Sequence[float]],
-                    exact: bool = True, small_rows: int = SMALL_ROWS,
-                    n_rows: int | None = None) -> dict[str, list[float | None]]:
+                    exact: bool = True) -> dict[str, list[float | None]]:
     """Linear-interpolated quantiles; missing values are skipped, an empty column gives None.
 
-    ``columns`` are column names, or SQL expressions by result name. ``n_rows`` is the row count where the caller knows it, which saves the counting pass of a small
-    input. ``exact=False`` takes Spark's one-pass approximate percentiles instead.
+    ``columns`` are column names, or SQL expressions by result name. Infinite values count as the lowest or highest.
+    ``exact=False`` takes Spark's one-pass approximate percentiles instead.
     """
     if not isinstance(columns, Mapping):
         columns = {c: name(c) for c in columns}
@@ -36,26 +35,26 @@ def exact_quantiles(df: DataFrame, columns: Mapping[str, str] | Sequence[str],
     names = list(columns)
     keys = {n: f"q{i}" for i, n in enumerate(names)}
     data = df.selectExpr(*[f"nanvl(CAST({columns[n]} AS DOUBLE), NULL) AS {keys[n]}" for n in names])
-    lists = {n: f"array({', '.join(map(number, wanted[n]))})" for n in names}
     if not exact:
+        lists = {n: f"array({', '.join(map(number, wanted[n]))})" for n in names}
         row = data.selectExpr(*[f"percentile_approx({keys[n]}, {lists[n]}, 10000) AS {keys[n]}" for n in names]).first()
         return {n: list(row[keys[n]] or [None] * len(wanted[n])) for n in names}
-    spread = None
-    if n_rows is None or n_rows > small_rows:
-        spread = data.selectExpr(*[
-            f"{f}({k}) AS {k}_{s}" for k in keys.values() for s, f in (("n", "count"), ("lo", "min"), ("hi", "max"))
-        ]).first()
-        n_rows = max((spread[f"{k}_n"] for k in keys.values()), default=0)
-    if n_rows <= small_rows:
-        row = data.selectExpr(*[f"percentile({keys[n]}, {lists[n]}) AS {keys[n]}" for n in names]).first()
-        return {n: list(row[keys[n]] or [None] * len(wanted[n])) for n in names}
+    finite = f"{{k}} > {number(-math.inf)} AND {{k}} < {number(math.inf)}"
+    spread = data.selectExpr(*[e for k in keys.values() for e in (
+        f"count({k}) AS {k}_n", f"count_if({k} = {number(-math.inf)}) AS {k}_below", f"count_if({k} = {number(math.inf)}) AS {k}_above",
+        f"min({k}) FILTER (WHERE {finite.format(k=k)}) AS {k}_lo", f"max({k}) FILTER (WHERE {finite.format(k=k)}) AS {k}_hi")]).first()
     ranks = {}
     for n in names:
-        size = spread[f"{keys[n]}_n"]
+        key = keys[n]
+        size, below, above = (spread[f"{key}_{s}"] for s in ("n", "below", "above"))
         for q in wanted[n] if size else ():
             position = (size - 1) * q
             for rank in (math.floor(position), math.ceil(position)):
-                ranks[(keys[n], rank)] = (spread[f"{keys[n]}_lo"], spread[f"{keys[n]}_hi"], 0)
+                if rank < below or rank >= size - above:
+                    value = -math.inf if rank < below else math.inf
+                    ranks[(key, rank)] = (value, value, 0)
+                else:
+                    ranks[(key, rank)] = (spread[f"{key}_lo"], spread[f"{key}_hi"], below)
     values = _values_at_ranks(data, ranks)
     out = {}
     for n in names:
@@ -73,6 +72,29 @@ def exact_quantiles(df: DataFrame, columns: Mapping[str, str] | Sequence[str],
     return out
 
 
+def _cell_counts(intervals: Sequence[tuple], cells: int):
+    """Rows, lowest and highest value per cell of the intervals (column, low, high, rows below), added up over a whole task."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((len(intervals), cells), np.int64)
+        lowest, highest = np.full(n.shape, np.inf), np.full(n.shape, -np.inf)
+        for batch in batches:
+            values = {c: batch.column(c).drop_null().to_numpy(zero_copy_only=False) for c in {interval[0] for interval in intervals}}
+            for i, (column, low, high, _) in enumerate(intervals):
+                x = values[column]
+                x = x[(x >= low) & (x <= high)]
+                half = 0.5 if high * 0.5 - low * 0.5 else 1.0  # halves can't overflow, but the smallest numbers have none
+                cell = np.minimum((x * half - low * half) / (high * half - low * half) * cells, cells - 1).astype(np.int64)
+                n[i] += np.bincount(cell, minlength=cells)
+                np.minimum.at(lowest[i], cell, x)
+                np.maximum.at(highest[i], cell, x)
+        i, cell = np.nonzero(n)
+        found = (i.astype(np.int32), cell.astype(np.int32), n[i, cell], lowest[i, cell], highest[i, cell])
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in found], ["i", "cell", "n", "lo", "hi"])
+
+    return counted
+
+
 def _values_at_ranks(data: DataFrame, ranks: dict) -> dict:
     """Value at each 0-based (column, rank); ``ranks`` maps it to (low, high, rows below low)."""
     found = {}
@@ -83,16 +105,9 @@ def _values_at_ranks(data: DataFrame, ranks: dict) -> dict:
             return found
         intervals = sorted({(column, *bounds) for (column, _), bounds in ranks.items()})
         cells = max(64, min(4096, HISTOGRAM_CELLS // len(intervals)))
-        entries = []
-        for i, (x, lo, hi, _) in enumerate(intervals):
-            share = f"({x} / 2 - {number(lo / 2)}) / {number(hi / 2 - lo / 2)}"
-            cell = f"CAST(least(floor({share} * {cells}), {cells - 1}) AS INT)"
-            entries.append(f"IF({x} BETWEEN {number(lo)} AND {number(hi)}, struct({i} AS i, {cell} AS cell, {x} AS x), NULL)")
         histogram = (
-            data.selectExpr(f"explode(array({', '.join(entries)})) AS e")
-            .filter("e IS NOT NULL")
-            .groupBy("e.i", "e.cell")
-            .agg(F.expr("count(*) AS n"), F.expr("min(e.x) AS lo"), F.expr("max(e.x) AS hi"))
+            data.mapInArrow(_cell_counts(intervals, cells), "i int, cell int, n long, lo double, hi double")
+            .groupBy("i", "cell").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
             .collect()
         )
         by_interval: dict[int, list] = {}

@@ -19,7 +19,6 @@ from underwright.sources.contract import ID
 REPEATS = 10
 GRID_POINTS = 30
 LIME_TERMS = 8
-SHAP_ROWS = 800
 
 
 def pick_scenarios(scores: DataFrame, threshold: float, id_col: str = ID) -> DataFrame:
@@ -96,12 +95,12 @@ def permutation_importance(df: DataFrame, features: Sequence[str], score: Callab
 
 
 def feature_grid(df: DataFrame, feature: str, points: int = GRID_POINTS) -> list[float]:
-    """All values of a feature with few, else an even grid between its 5% and 95% quantiles."""
+    """All values of a feature with fewer than ``points``, else an even grid between its 5% and 95% quantiles."""
     present = df.select(feature).filter(f"{name(feature)} IS NOT NULL")
     # the exact values are only fetched when an estimate says that they are few
     if present.selectExpr(f"approx_count_distinct({name(feature)}) AS n").first()["n"] <= 2 * points:
         few = present.distinct().limit(points + 1).collect()
-        if len(few) <= points:
+        if len(few) < points:
             return sorted(r[0] for r in few)
     low, high = exact_quantiles(df, [feature], (0.05, 0.95))[feature]
     return [low + (high - low) * i / (points - 1) for i in range(points)]
@@ -174,9 +173,9 @@ def shap_importance(values: DataFrame) -> DataFrame:
         F.desc("importance"), "feature")
 
 
-def shap_sample(df: DataFrame, rows: int = SHAP_ROWS, seed: int = 42, id_col: str = ID) -> DataFrame:
-    """Reproducible sample of at most ``rows`` rows."""
-    return df.orderBy(F.expr(hash_order(id_col, seed)), id_col).limit(rows)
+def shap_sample(df: DataFrame, rows: int | None = None, seed: int = 42, id_col: str = ID) -> DataFrame:
+    """Reproducible sample of at most ``rows`` rows; all rows where no number is given."""
+    return df if rows is None else df.orderBy(F.expr(hash_order(id_col, seed)), id_col).limit(rows)
 
 
 def lime_local(explained: DataFrame, reference: DataFrame, names: Sequence[str], score: Callable[[DataFrame], DataFrame],

@@ -47,8 +47,8 @@ INDICATOR = f"missingindicator_{MONTHS}"
 # --- fits -----------------------------------------------------------------------------------------
 
 
-def fit_medians(df: DataFrame, columns: Sequence[str], n_rows: int | None = None) -> dict[str, float]:
-    medians = exact_quantiles(df, list(columns), (0.5,), n_rows=n_rows)
+def fit_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    medians = exact_quantiles(df, list(columns), (0.5,))
     return {c: 0.0 if q[0] is None else q[0] for c, q in medians.items()}
 
 
@@ -81,14 +81,14 @@ def fit_categories(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]
     return {c: sorted(values) for c, values in category_counts(filled, columns).items()}
 
 
-def fit_winsor(df: DataFrame, exprs: Mapping[str, str], n_rows: int | None = None) -> dict[str, list[float]]:
+def fit_winsor(df: DataFrame, exprs: Mapping[str, str]) -> dict[str, list[float]]:
     """Lower and upper clip bounds; ``exprs`` are the imputed columns."""
-    return exact_quantiles(df, exprs, WINSOR_BOUNDS, n_rows=n_rows)
+    return exact_quantiles(df, exprs, WINSOR_BOUNDS)
 
 
-def fit_robust(df: DataFrame, exprs: Mapping[str, str], n_rows: int | None = None) -> dict[str, list[float]]:
+def fit_robust(df: DataFrame, exprs: Mapping[str, str]) -> dict[str, list[float]]:
     """(median, IQR); a zero IQR scales by 1."""
-    q = exact_quantiles(df, exprs, (0.25, 0.5, 0.75), n_rows=n_rows)
+    q = exact_quantiles(df, exprs, (0.25, 0.5, 0.75))
     return {c: [v[1], (v[2] - v[0]) or 1.0] if v[1] is not None else [0.0, 1.0] for c, v in q.items()}
 
 
@@ -163,17 +163,16 @@ def _unscaled(state: Mapping, c: str) -> str:
 def fit_preprocess(df: DataFrame) -> dict:
     """State of all groups from training rows that carry the engineered columns."""
     probe = with_exprs(df, {
-        **{c: impute_missing_label(c) for c in NOMINAL}, "_rows": "'all'", "_months": f"{name(MONTHS)} IS NULL"})
-    counts = category_counts(probe, [*FLAGS, *ORDINAL, *NOMINAL, "_rows", "_months"])
-    n = counts["_rows"].get("all", 0)
+        **{c: impute_missing_label(c) for c in NOMINAL}, "_months": f"{name(MONTHS)} IS NULL"})
+    counts = category_counts(probe, [*FLAGS, *ORDINAL, *NOMINAL, "_months"])
     state: dict = {
-        "median": fit_medians(df, MEDIAN_COLUMNS, n),
+        "median": fit_medians(df, MEDIAN_COLUMNS),
         "mode": {c: mode_of(counts[c]) for c in (*FLAGS, *ORDINAL)},
         "categories": {c: sorted(counts[c]) for c in NOMINAL},
         "indicator": "true" in counts["_months"],
     }
-    state["winsor"] = fit_winsor(df, {c: _imputed(state, c) for c in MONEY}, n)
-    scale = fit_robust(df, {c: _unscaled(state, c) for c in ROBUST_COLUMNS}, n)
+    state["winsor"] = fit_winsor(df, {c: _imputed(state, c) for c in MONEY})
+    scale = fit_robust(df, {c: _unscaled(state, c) for c in ROBUST_COLUMNS})
     exprs = {c: _unscaled(state, c) for c in STANDARD_COLUMNS}
     if state["indicator"]:
         exprs[INDICATOR] = missing_indicator(MONTHS)
