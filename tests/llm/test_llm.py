@@ -230,6 +230,9 @@ def test_html(spark, odd):
     assert html_extract.extract(PAGE) == "Head & line\nFirst, part of it, with text.\nSecond bold, part.\nOne\nTwo"
     plain = "<body><div class=menu><a href=x>one</a></div><div><p>Some long text, that is, the content of it.</p><p>More of it, here.</p></div><div class=ad><p>Buy, buy, buy</p></div>"
     assert html_extract.extract(plain) == "Some long text, that is, the content of it.\nMore of it, here."
+    words = "Some long text, that is, the content of it."
+    for hidden in ("<p class=ad>Buy", "<ul><li class=promo>Buy <b>now</ul>", "<div class=ad><div>Buy<p>a<div>x</div></div>b</div>", "<aside><p>a<p>b<ul><li>c<li>d</ul></aside>", "<form><input>a<br>b</form>"):
+        assert html_extract.extract(f"<body><article><p>{words}</p>{hidden}<p>{words}</article><footer>x</footer></body>") == f"{words}\n{words}", hidden
     assert html_extract.extract("") == "" and html_extract.extract("<p>unclosed <b>text") == "unclosed text"
     pages = spark.createDataFrame([(1, None, None), (None, "u", PAGE), (2, "u", "")], "page_id long, url string, html string")
     assert sorted(r["n_chars"] for r in html_extract.extract_pages(pages).collect()) == [0, 0, len(html_extract.extract(PAGE))]
@@ -272,6 +275,7 @@ def test_language(spark):
 def test_language_odd(odd, none):
     rows = {r["doc_id"]: r for r in language_id.identify(odd).collect()}
     assert rows[3]["lang_pred"] == rows[4]["lang_pred"] == rows[9]["lang_pred"] == "und" and rows[7]["lang_pred"] == "en"
+    assert language_id.Classifier([("en", ["the"]), ("fr", ["le"])]).classify("\u00b2\u2167 1_2") == ("und", 0.0, True)
     assert language_id.identify(none).count() == 0 and language_id.identify(odd.drop("lang").selectExpr("*", "CAST(NULL AS STRING) AS lang")).where("lang_pred = 'und'").count() == odd.count()
 
 

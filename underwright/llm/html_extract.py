@@ -25,6 +25,8 @@ BLOCKS = frozenset("address article blockquote body center dd details div dl dt
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What ends an open paragraph or list item.
 ENDED_BY = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "tr": frozenset(["tr", "td", "th"])}
+#: Elements that end with their parent if they have no end tag.
+OPEN_ENDED = frozenset(["p", *ENDED_BY])
 #: Words in class, id or role of elements that aren't main text.
 UNWANTED = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|foot|header|masthead|menu|nav|navbar|navigation|newsletter|notice|alert|"
@@ -54,7 +56,7 @@ class Tree(HTMLParser):
         self.blocks: list[tuple[Element, str, int]] = []
         self.text: list[str] = []
         self.links, self.in_link = 0, 0
-        self.hidden: list[str] = []  # open elements from the outermost skipped one on
+        self.hidden: list[str] = []  # open elements from the outermost skipped one on, inline ones too
 
     def end_block(self) -> None:
         if self.text:
@@ -63,7 +65,13 @@ class Tree(HTMLParser):
                 self.blocks.append((self.top, text, min(self.links, len(text))))
             self.text, self.links = [], 0
 
+    def ends_hidden(self, by: frozenset[str]) -> bool:
+        """Whether the skipped element is one of ``by`` and no block is open in it, so that it may end without an end tag."""
+        return bool(self.hidden) and self.hidden[0] in by and not any(t in BLOCKS for t in self.hidden[1:])
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in BLOCKS and self.ends_hidden(ENDED_BY.get(tag, frozenset()) | {"p"}):
+            self.hidden = []
         if tag in VOID:
             if not self.hidden:
                 if tag == "br":
@@ -72,8 +80,7 @@ class Tree(HTMLParser):
                     self.end_block()
             return
         if self.hidden:
-            if tag == self.hidden[-1]:
-                self.hidden.append(tag)
+            self.hidden.append(tag)
             return
         own = tag not in CONTAINERS and tag not in ("html", "body")
         if tag in SKIPPED or own and any(v and k in ("class", "id", "role", "aria-label") and UNWANTED.search(v) for k, v in attrs) or any(k == "hidden" for k, _ in attrs):
@@ -90,11 +97,21 @@ class Tree(HTMLParser):
         elif tag == "a":
             self.in_link += 1
 
+    def is_open(self, tag: str) -> bool:
+        at = self.top
+        while at.parent and at.tag != tag:
+            at = at.parent
+        return at.parent is not None
+
     def handle_endtag(self, tag: str) -> None:
-        if self.hidden:
-            if tag == self.hidden[-1]:
-                self.hidden.pop()
+        if tag in self.hidden:
+            while self.hidden.pop() != tag:
+                pass
             return
+        if self.hidden:
+            if not (tag in BLOCKS and self.ends_hidden(OPEN_ENDED) and self.is_open(tag)):
+                return
+            self.hidden = []
         if tag in BLOCKS:
             self.end_block()
             at = self.top

@@ -87,7 +87,7 @@ class Classifier:
     def classify(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score and rejection. Of equal sizes the language with more labelled rows wins."""
         words = letters(text or "")
-        if not words or not self.languages:
+        if not self.languages or not any(map(str.isalpha, words)):
             return "und", 0.0, True
         sizes = self.sizes(words)
         best = min(sizes)
