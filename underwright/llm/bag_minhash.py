@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from underwright.llm.common import pieces, stored, text_or_empty
+from underwright.llm.common import join_groups, pieces, stored, text_or_empty
 from underwright.llm.components import components
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
@@ -227,7 +227,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(text_or_empty(text_col)).alias("text"), text_key(text_col).alias("key"))
     signed = keyed.withColumn("uid", F.monotonically_increasing_id()).select("doc_id", "key", "uid", "text")
     rows = stored(signed.mapInArrow(_signed, "doc_id long, key string, " + SIGNATURES), "signed")
-    vertices = stored(rows.groupBy("key").agg(F.min("uid").alias("uid"), F.min_by("doc_id", "uid").alias("doc"), F.min_by(F.struct("weight", "bands", "parities"), "uid").alias("s")).select("uid", "key", "doc", "s.*"), "vertices")
+    vertices = stored(rows.groupBy("key").agg(F.min("uid").alias("uid"), F.min_by("doc_id", "uid").alias("doc"), F.min_by(F.struct("weight", "bands", "parities"), "uid").alias("s"), F.count("*").alias("group_size")).select("uid", "key", "doc", "group_size", "s.*"), "vertices")
 
     cells = vertices.select("uid", F.posexplode("bands").alias("band", "bucket"))
     shared = cells.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -268,11 +268,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = stored(verify(rest, bags).select("a", "b"), "more-links")
 
     classes = components(links.unionByName(more)).withColumnRenamed("node", "uid")
-    named = rows.select("doc_id", "key", F.col("uid").alias("row")).join(vertices.select("key", "uid"), "key").join(classes, "uid", "left")
-    named = stored(named.select("doc_id", "key", "row", F.coalesce("root", "uid").alias("root")), "named")
-    by_class = named.groupBy("root").agg(F.count("*").alias("class_size"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("m"))
-    by_class = by_class.select("root", "class_size", F.col("m.doc_id").alias("class_id"), F.col("m.row").alias("keep_row"))
-    return named.join(by_class, "root").select(F.col("doc_id").alias(id_col), "class_id", "class_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.col("key").alias("text_key"))
+    # a text or a class may have a third of all rows: large ones are broadcast, the others joined by key
+    n_rows = rows.count()
+    roots = stored(vertices.join(classes, "uid", "left").select("key", "group_size", F.coalesce("root", "uid").alias("root")), "roots")
+    named = stored(join_groups(rows.select("doc_id", "key", F.col("uid").alias("row")), roots, ["key"], n_rows).drop("group_size"), "named")
+    by_class = named.groupBy("root").agg(F.count("*").alias("group_size"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("m"))
+    by_class = stored(by_class.select("root", "group_size", F.col("m.doc_id").alias("class_id"), F.col("m.row").alias("keep_row")), "classes")
+    out = join_groups(named, by_class, ["root"], n_rows)
+    return out.select(F.col("doc_id").alias(id_col), "class_id", F.col("group_size").alias("class_size"), (F.col("row") == F.col("keep_row")).alias("kept"), F.col("key").alias("text_key"))
 
 
 def keep_one_of_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
