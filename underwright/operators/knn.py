@@ -1,15 +1,15 @@
 """Exact nearest-neighbour vote.
 
-Queries and training rows are cut into blocks by a hash of their ids. Every query block meets every
-training block once, as one cogrouped task of bounded size that returns the k best neighbours of each
-query; a row number per query merges the blocks. Nothing passes through the driver, and no pair of rows
-leaves its task unless it is among the k best of its block.
+The training rows are the classifier. Up to ``BROADCAST_CELLS`` numbers they are shipped once to every executor, and the
+queries are mapped over them where they lie, without a shuffle. Larger training sets give the same rows by blocks: queries
+and training rows are cut by a hash of their ids, every query block meets every training block once, as one cogrouped
+task of bounded size that returns the k best neighbours of each query, and a row number per query merges the blocks.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -23,6 +23,8 @@ NEIGHBOURS = 15
 QUERY_BLOCK = 2_000
 TRAIN_BLOCK = 20_000
 DISTANCE_CELLS = 4_000_000
+#: Training matrices of up to so many numbers (64 MB) are broadcast.
+BROADCAST_CELLS = 8_000_000
 
 
 def _blocked(df: DataFrame, id_col: str, own: str, blocks: int, other: str, copies: int) -> DataFrame:
@@ -30,14 +32,65 @@ def _blocked(df: DataFrame, id_col: str, own: str, blocks: int, other: str, copi
                          f"explode(sequence(0, {copies - 1})) AS {other}")
 
 
+def nearest(queries: np.ndarray, train: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and squared distances of the k nearest training rows of each query, nearest first, of equals the first.
+
+    One matrix product gives distances with a small error. All rows that may be among the k best within that error are
+    ranked again by the sum of squared differences.
+    """
+    squares = (train**2).sum(axis=1)
+    own = (queries**2).sum(axis=1)
+    rough = own[:, None] + squares - 2 * queries @ train.T
+    error = 1e-12 * train.shape[1] * (own + squares.max())
+    limit = np.partition(rough, k - 1, axis=1)[:, k - 1] + 2 * error
+    query, at = np.nonzero(rough <= limit[:, None])
+    exact = np.empty(len(query))
+    step = max(1, DISTANCE_CELLS // train.shape[1])
+    for start in range(0, len(query), step):
+        part = slice(start, start + step)
+        exact[part] = ((queries[query[part]] - train[at[part]]) ** 2).sum(axis=1)
+    order = np.lexsort((at, exact, query))
+    first = np.searchsorted(query, np.arange(len(queries)))
+    best = order[(first[:, None] + np.arange(k)).ravel()]
+    return at[best].reshape(-1, k), exact[best].reshape(-1, k)
+
+
+def _mapped(left: DataFrame, right: DataFrame, k: int, kind: str) -> DataFrame:
+    """Neighbours of every query from broadcast training rows."""
+    model = right.toPandas().sort_values("id", ignore_index=True)
+    shipped = left.sparkSession.sparkContext.broadcast((model["id"].to_numpy(), np.stack(model["x"]), model["label"].to_numpy()))
+    take = min(k, len(model))
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, x, labels = shipped.value
+        step = max(1, DISTANCE_CELLS // len(ids))
+        for batch in batches:
+            for start in range(0, len(batch), step):
+                part = batch.iloc[start:start + step]
+                at, distance = nearest(np.stack(part["x"]), x, take)
+                yield pd.DataFrame({
+                    "id": np.repeat(part["id"].to_numpy(), take), "neighbour": ids[at].ravel(), "label": labels[at].ravel(),
+                    "distance2": distance.ravel(), "rank": np.tile(np.arange(1, take + 1, dtype=np.int32), len(part))})
+
+    return left.mapInPandas(best, f"id {kind}, neighbour {kind}, label double, distance2 double, rank int")
+
+
 def knn_neighbours(train: DataFrame, queries: DataFrame, columns: Sequence[str], id_col: str, label: str,
-                   k: int = NEIGHBOURS, query_block: int = QUERY_BLOCK, train_block: int = TRAIN_BLOCK) -> DataFrame:
-    """The k nearest training rows of each query as (id, neighbour, label, distance2, rank); ties go to the lower id."""
+                   k: int = NEIGHBOURS, query_block: int = QUERY_BLOCK, train_block: int = TRAIN_BLOCK,
+                   broadcast_cells: int = BROADCAST_CELLS) -> DataFrame:
+    """The k nearest training rows of each query as (id, neighbour, label, distance2, rank); ties go to the lower id.
+
+    Query ids are unique and no value is missing.
+    """
     columns = list(columns)
     x = f"array({', '.join(f'CAST({name(c)} AS DOUBLE)' for c in columns)}) AS x"
     left = queries.selectExpr(f"{name(id_col)} AS id", x)
     right = train.selectExpr(f"{name(id_col)} AS id", x, f"CAST({name(label)} AS DOUBLE) AS label")
-    n_queries, n_train = left.count(), right.count()
+    kind = dict(left.dtypes)["id"]
+    n_train = right.count()
+    if 0 < n_train * len(columns) <= broadcast_cells:
+        return _mapped(left, right, k, kind).withColumnRenamed("id", id_col)
+    n_queries = left.count()
     q_blocks = max(1, math.ceil(n_queries / query_block))
     t_blocks = max(1, math.ceil(n_train / train_block))
 
@@ -61,7 +114,6 @@ def knn_neighbours(train: DataFrame, queries: DataFrame, columns: Sequence[str],
             }))
         return pd.concat(parts, ignore_index=True)
 
-    kind = dict(left.dtypes)["id"]
     candidates = (
         _blocked(left, "id", "qb", q_blocks, "tb", t_blocks).groupBy("qb", "tb")
         .cogroup(_blocked(right, "id", "tb", t_blocks, "qb", q_blocks).groupBy("qb", "tb"))

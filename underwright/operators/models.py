@@ -278,7 +278,7 @@ def compare_models(spark: SparkSession, train: DataFrame, validation: DataFrame,
             auc = auc_of(positive_scores(factory().fit(fitted).transform(held)))
             rows.append((model, mean, deviation, auc, time.perf_counter() - start, "ok"))
         except Exception as error:  # a failed model must not stop the comparison
-            rows.append((model, None, None, None, time.perf_counter() - start, f"failed: {type(error).__name__}"))
+            rows.append((model, None, None, None, time.perf_counter() - start, f"failed: {error}"))
     table = spark.createDataFrame(
         rows, "model string, cv_auc_mean double, cv_auc_std double, val_auc double, seconds double, status string")
     return table.selectExpr(
