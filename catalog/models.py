@@ -1,7 +1,7 @@
 """Queries that fit classifiers on the training rows and score the validation rows.
 
-Fits have no SQL counterpart except Gaussian naive Bayes and the nearest-neighbour vote. Boosting runs
-with a tenth of its rounds here; the settings scale by one parameter.
+Fits have no SQL counterpart except Gaussian naive Bayes and the nearest-neighbour vote. Single fits run with
+the full settings of the library.
 """
 
 from __future__ import annotations
@@ -20,8 +20,6 @@ from underwright.operators.splits import stratified_split
 from underwright.session import materialise
 from underwright.sources.scorecard import TERM_INPUTS, scored
 
-EFFORT = 0.1
-
 
 def split_cleaned(spark, sf):
     return materialise(stratified_split(materialise(cleaned(spark, sf), "cleaned")), "split")
@@ -38,7 +36,7 @@ def matrices(spark, sf, selected=None):
 def _fit(query, model):
     def run(spark, sf):
         _, train, validation = matrices(spark, sf)
-        estimator = models.model_registry(train.count(), effort=EFFORT)[model]()
+        estimator = models.model_registry(train.count())[model]()
         return round_doubles(models.positive_scores(estimator.fit(train).transform(validation)))
 
     register(query)(run)
@@ -111,19 +109,30 @@ def _fit_gnb(spark, sf):
 # --- comparison and tuning ------------------------------------------------------------------------
 
 
-@register("model_registry")
+_ESTIMATORS = {
+    "Logistic Regression": "LogisticRegression", "Decision Tree": "DecisionTreeClassifier", "Random Forest": "RandomForestClassifier",
+    "Gradient Boosting": "GBTClassifier", "XGBoost": "GBTClassifier", "LightGBM": "GBTClassifier", "CatBoost": "GBTClassifier",
+    "SVM": "Pipeline", "KNN": "KnnVote", "Naive Bayes": "NaiveBayes",
+}
+
+
+@register("model_registry", sql(
+    f"SELECT model, estimator, train_rows, pos_weight FROM (VALUES {', '.join(f'({m!r}, {e!r})' for m, e in _ESTIMATORS.items())}) AS e(model, estimator), "
+    f"(SELECT CAST(count(*) AS BIGINT) AS train_rows, {r('sum(1 - creditworthy) * 1e0 / sum(creditworthy)')} AS pos_weight FROM s WHERE split = 'train')",
+    "cleaned", s=SPLIT_SQL.format(val=0.2)))
 def _model_registry(spark, sf):
     """Every registered estimator with the size and class weight of the training rows it would get."""
     train = split_cleaned(spark, sf).filter("split = 'train'")
     n = train.count()
     weights = models.class_weights(train, "creditworthy")
     rows = [(m, type(f()).__name__, n, weights["pos"]) for m, f in models.model_registry(n).items()]
-    return spark.createDataFrame(rows, "model string, estimator string, train_rows bigint, pos_weight double")
+    return round_doubles(spark.createDataFrame(rows, "model string, estimator string, train_rows bigint, pos_weight double"))
 
 
 @register("model_reference_join", sql(
     "SELECT model, roc_auc, CASE WHEN model = 'Logistic Regression' THEN 'fast and fully explainable' WHEN model = 'Naive Bayes' THEN "
-    "'very fast' ELSE '' END AS advantages FROM (SELECT CASE model WHEN 'scorecard' THEN 'Logistic Regression' WHEN 'squared' THEN "
+    "'very fast' ELSE '' END AS advantages, CASE WHEN model = 'Logistic Regression' THEN 'first choice under regulation' WHEN model = "
+    "'Naive Bayes' THEN 'quick plausibility check' ELSE '' END AS business_suitability FROM (SELECT CASE model WHEN 'scorecard' THEN 'Logistic Regression' WHEN 'squared' THEN "
     "'Naive Bayes' ELSE model END AS model, auc AS roc_auc FROM (SELECT model, round(sum(n1 * (c0 - n0 / 2)) / max(t1 * t0), 6) AS auc "
     "FROM (SELECT model, n1, n0, sum(n0) OVER (PARTITION BY model ORDER BY p) AS c0, sum(n1) OVER (PARTITION BY model) AS t1, sum(n0) OVER "
     "(PARTITION BY model) AS t0 FROM (SELECT model, p, CAST(sum(y) AS DOUBLE) AS n1, CAST(sum(1 - y) AS DOUBLE) AS n0 FROM model_scores "
@@ -133,7 +142,7 @@ def _model_reference_join(spark, sf):
 
     table = metrics.rank_metrics(score_variants(scored(raw(spark, sf))), ["model"]).selectExpr(
         "CASE model WHEN 'scorecard' THEN 'Logistic Regression' WHEN 'squared' THEN 'Naive Bayes' ELSE model END AS model", "roc_auc")
-    return models.model_reference_join(table).select("model", "roc_auc", "advantages")
+    return models.model_reference_join(table).select("model", "roc_auc", "advantages", "business_suitability")
 
 
 @register("positive_scores")
@@ -156,16 +165,16 @@ def _cross_validate_auc(spark, sf):
 def _compare_models(spark, sf):
     rows = split_cleaned(spark, sf)
     train = rows.filter("split = 'train'")
-    registry = models.model_registry(train.count(), effort=EFFORT)
+    registry = models.model_registry(train.count())
     chosen = {m: registry[m] for m in ("Logistic Regression", "Decision Tree", "Naive Bayes", "KNN")}
-    return models.compare_models(spark, train, rows.filter("split = 'validation'"), chosen, k=3)
+    return models.compare_models(spark, train, rows.filter("split = 'validation'"), chosen)
 
 
 @register("random_search")
 def _random_search(spark, sf):
     rows = split_cleaned(spark, sf).filter("split = 'train'")
-    folds = models.fold_matrices(rows, 3)
-    return tuning.search_table(spark, tuning.random_search_logistic(folds, rows.count(), 6))
+    folds = models.fold_matrices(rows, 5)
+    return tuning.search_table(spark, tuning.random_search_logistic(folds, rows.count()))
 
 
 @register("grid_refine")

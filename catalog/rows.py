@@ -237,10 +237,10 @@ register("project_contract", sql(f"SELECT customer_id, {', '.join(MODEL_INPUTS)}
 
 register("schema_table", sql(
     " UNION ALL ".join(
-        f"SELECT '{c.feature}' AS feature, '{c.kind}' AS kind, "
+        f"SELECT '{c.feature}' AS feature, '{c.kind}' AS kind, true AS nullable, "
         f"{'CAST(NULL AS DOUBLE)' if c.minimum is None else f'{c.minimum:g}e0'} AS minimum, "
         f"{'CAST(NULL AS DOUBLE)' if c.maximum is None else f'{c.maximum:g}e0'} AS maximum, "
         f"CAST(count({c.feature}) AS BIGINT) AS present FROM applicants" for c in CONTRACT), "applicants"))(
-    lambda spark, sf: scoring.schema_table(spark).select("feature", "kind", "minimum", "maximum").join(
+    lambda spark, sf: scoring.schema_table(spark).select("feature", "kind", "nullable", "minimum", "maximum").join(
         profiling.non_null_counts(raw(spark, sf).select(*MODEL_INPUTS)).selectExpr("column AS feature", "n AS present"),
         "feature"))

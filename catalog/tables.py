@@ -82,7 +82,7 @@ register("class_box_stats", sql(
       "quantile_cont(value, 0.75) AS q75 FROM vals GROUP BY 1, 2"))(
     lambda spark, sf: round_doubles(eda.class_box_stats(stored(spark, sf))))
 
-_DENSITY = ["credit_score", "credit_utilization_ratio", "interest_rate"]
+_DENSITY = ["credit_score", "credit_utilization_ratio", "interest_rate", "age", "monthly_income"]
 register("class_density", sql(
     f"SELECT class, \"column\", CAST(point AS INTEGER) AS point, {r('min(lo + step * point)')} AS x, "
     f"{r('sum(exp(-0.5e0 * pow((lo + step * point - value) / h, 2))) / (min(n) * min(h) * sqrt(2 * pi()))')} AS density, "

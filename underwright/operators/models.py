@@ -36,16 +36,16 @@ FIT_THREADS = 4
 
 # What each model offers and costs, for the comparison table.
 MODEL_NOTES = {
-    "Logistic Regression": ("fast and fully explainable", "linear effects only", "very high"),
-    "Decision Tree": ("readable rules", "unstable, overfits", "high"),
-    "Random Forest": ("robust without tuning", "large model, slower scoring", "medium"),
-    "Gradient Boosting": ("accurate on mixed signals", "slow sequential training", "medium"),
-    "XGBoost": ("accurate and regularised boosting", "many settings", "medium"),
-    "LightGBM": ("fast boosting on wide data", "overfits small tables", "medium"),
-    "CatBoost": ("strong defaults", "long training", "medium"),
-    "SVM": ("smooth non-linear border", "costly on many rows", "low"),
-    "KNN": ("nothing to train", "slow scoring", "low"),
-    "Naive Bayes": ("very fast", "assumes independence", "high"),
+    "Logistic Regression": ("fast and fully explainable", "linear effects only", "very high", "first choice under regulation"),
+    "Decision Tree": ("readable rules", "unstable, overfits", "high", "for explaining, not for deciding"),
+    "Random Forest": ("robust without tuning", "large model, slower scoring", "medium", "dependable in production"),
+    "Gradient Boosting": ("accurate on mixed signals", "slow sequential training", "medium", "good once tuned"),
+    "XGBoost": ("accurate and regularised boosting", "many settings", "medium", "usual challenger in credit risk"),
+    "LightGBM": ("fast boosting on wide data", "overfits small tables", "medium", "scoring of large portfolios"),
+    "CatBoost": ("strong defaults", "long training", "medium", "portfolios with many categories"),
+    "SVM": ("smooth non-linear border", "costly on many rows", "low", "comparison only"),
+    "KNN": ("nothing to train", "slow scoring", "low", "too slow for instant decisions"),
+    "Naive Bayes": ("very fast", "assumes independence", "high", "quick plausibility check"),
 }
 
 
@@ -180,8 +180,8 @@ def model_reference_join(results: DataFrame, key: str = "model") -> DataFrame:
     """Result rows with the notes of their model; an unknown model gets empty text."""
     spark = results.sparkSession
     notes = spark.createDataFrame(
-        [(m, *texts) for m, texts in MODEL_NOTES.items()], f"{key} string, advantages string, disadvantages string, interpretability string")
-    return results.join(F.broadcast(notes), key, "left").fillna("", ["advantages", "disadvantages", "interpretability"])
+        [(m, *texts) for m, texts in MODEL_NOTES.items()], f"{key} string, advantages string, disadvantages string, interpretability string, business_suitability string")
+    return results.join(F.broadcast(notes), key, "left").fillna("", ["advantages", "disadvantages", "interpretability", "business_suitability"])
 
 
 # --- feature matrix -------------------------------------------------------------------------------

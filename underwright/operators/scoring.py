@@ -28,11 +28,11 @@ class InvalidInputError(ValueError):
 
 def schema_table(spark: SparkSession) -> DataFrame:
     """The contract, one row per model input."""
-    rows = [(i + 1, r.feature, r.kind, None if r.minimum is None else float(r.minimum),
+    rows = [(i + 1, r.feature, r.kind, r.nullable, None if r.minimum is None else float(r.minimum),
              None if r.maximum is None else float(r.maximum), list(r.allowed) or None)
             for i, r in enumerate(CONTRACT)]
     return spark.createDataFrame(
-        rows, "position int, feature string, kind string, minimum double, maximum double, allowed array<string>")
+        rows, "position int, feature string, kind string, nullable boolean, minimum double, maximum double, allowed array<string>")
 
 
 def check_columns(df: DataFrame) -> None:

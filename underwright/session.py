@@ -8,21 +8,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(cpus: str | int = "*", app: str = "underwright", **conf: str) -> SparkSession:
-    """Local session with the settings the library expects on a cluster too."""
+def build_session(cpus: str | int | None = None, app: str = "underwright", **conf: str) -> SparkSession:
+    """Session with the settings the library expects.
+
+    Without ``cpus``, master, memory and shuffle partitions are those of the environment's Spark configuration. With it, the
+    session is a local one of so many threads.
+    """
     builder = (
-        SparkSession.builder.master(f"local[{cpus}]")
-        .appName(app)
+        SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.sql.shuffle.partitions", "8")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "12g")
     )
+    if cpus is not None:
+        builder = builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "12g")
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()

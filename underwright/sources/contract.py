@@ -55,6 +55,7 @@ class FieldRule:
     minimum: float | None = None
     maximum: float | None = None
     allowed: tuple[str, ...] = ()
+    nullable: bool = True
 
 
 def _numeric(name: str, low: float | None, high: float | None = None) -> FieldRule:
