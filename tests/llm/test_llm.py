@@ -240,6 +240,20 @@ def test_html(spark, odd):
         assert r["text"] and "track(" not in r["text"] and "©" not in r["text"]
 
 
+def test_html_words_only_make_suspect():
+    words = "Some long text, that is, the content of it."
+    body, text = f"<h1>Head</h1><p>{words}</p><p>{words}</p>", f"Head\n{words}\n{words}"
+    for wrapper in ("class=content-with-sidebar", "id=content-sidebar-wrap", "class=no-sidebar", "class=has-sidebar", "role=search", "aria-label='main menu'"):
+        for page in (f"<article>{body}</article>", f"<div>{body}</div>", body):
+            assert html_extract.extract(f"<body><div {wrapper}>{page}<div class=sidebar><p>Buy, now</p></div></div><div class=ad>Buy</div>") == text, (wrapper, page)
+    code = "<h1 class=page-header>Head</h1><h2 class=section-header>Part</h2><pre>a = 1 <span class=comment># one</span></pre>"
+    assert html_extract.extract(f"<body><article>{code}<p>{words}</p></article>") == f"Head\nPart\na = 1 # one\n{words}"
+    widgets = "".join(f"<div class=page-widget><p>{words}</p></div>" for _ in range(6))
+    assert html_extract.extract(f"<body><main>{widgets}<div class=ad>Buy</div></main>") == "\n".join([words] * 6)
+    comments = "".join(f"<div class=comment><p>{words}</p></div>" for _ in range(8))
+    assert html_extract.extract(f"<body><div>{body}</div><div id=comments>{comments}</div>") == text
+
+
 def test_warc(spark):
     pages = dict(duckdb.sql(f"SELECT page_id, html FROM '{SF}/pages.parquet'").fetchall())
     first = {}

@@ -3,11 +3,15 @@
 Every paragraph gets points for its length and commas and passes them to its ancestors, in full to the parent, by half to
 the grandparent, and so on. An element's score is discounted by the share of its text that stands in links. The best
 container is kept, with those of its siblings that score well or are plain paragraphs.
+
+Words such as "sidebar" in a class, id, role or label only make a block suspect: it is left out if it holds little of the page's text and no
+article, and scores less otherwise.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -27,24 +31,30 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 ENDED_BY = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "tr": frozenset(["tr", "td", "th"])}
 #: Elements that end with their parent if they have no end tag.
 OPEN_ENDED = frozenset(["p", *ENDED_BY])
-#: Words in class, id or role of elements that aren't main text.
+#: Words in class, id, role or label of blocks that often aren't main text.
 UNWANTED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|foot|header|masthead|menu|nav|navbar|navigation|newsletter|notice|alert|"
-    r"pagination|pager|popup|modal|promo|related|recommended|replies|respond|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget|complementary|contentinfo|search)(?:$|[\s_-])",
+    r"(?:^|(?<=[\s_-]))(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|foot|header|masthead|menu|nav|navbar|navigation|newsletter|notice|alert|"
+    r"pagination|pager|popup|modal|promo|related|recommended|replies|respond|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget|complementary|contentinfo|search)(?=$|[\s_-])",
     re.IGNORECASE,
 )
 #: White space as in HTML, with the no-break space.
 SPACE = re.compile(r"[\s\xa0]+")
 CONTAINERS = frozenset(["article", "main"])
+HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
+#: A suspect block with a smaller share of the text outside links is left out; but a page keeps at least the share LEFT of it.
+LITTLE, LEFT = 0.3, 0.1
+#: What the points of text in suspect blocks count.
+DISCOUNT = 0.5
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 
 class Element:
-    __slots__ = ("blocks", "commas", "length", "linked", "parent", "score", "skip", "tag")
+    __slots__ = ("holds", "length", "linked", "parent", "score", "signs", "suspect", "tag")
 
-    def __init__(self, tag: str, parent: Element | None, skip: bool):
-        self.tag, self.parent, self.skip = tag, parent, skip
-        self.score, self.length, self.linked, self.commas, self.blocks = 0.0, 0, 0, 0, []
+    def __init__(self, tag: str, parent: Element | None, signs: frozenset[str] = frozenset()):
+        self.tag, self.parent, self.signs = tag, parent, signs
+        self.suspect: Element | None = self if signs else parent and parent.suspect  # the innermost element with signs that holds it
+        self.score, self.length, self.linked, self.holds = 0.0, 0, 0, False
 
 
 class Tree(HTMLParser):
@@ -52,8 +62,9 @@ class Tree(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.top = Element("#root", None, False)
+        self.root = self.top = Element("#root", None)
         self.blocks: list[tuple[Element, str, int]] = []
+        self.suspects: list[Element] = []  # outer ones first
         self.text: list[str] = []
         self.links, self.in_link = 0, 0
         self.hidden: list[str] = []  # open elements from the outermost skipped one on, inline ones too
@@ -82,8 +93,7 @@ class Tree(HTMLParser):
         if self.hidden:
             self.hidden.append(tag)
             return
-        own = tag not in CONTAINERS and tag not in ("html", "body")
-        if tag in SKIPPED or own and any(v and k in ("class", "id", "role", "aria-label") and UNWANTED.search(v) for k, v in attrs) or any(k == "hidden" for k, _ in attrs):
+        if tag in SKIPPED or any(k == "hidden" for k, _ in attrs):
             if tag in BLOCKS or tag in SKIPPED:
                 self.end_block()
             self.hidden.append(tag)
@@ -93,7 +103,14 @@ class Tree(HTMLParser):
                 self.top = self.top.parent
             if self.top.tag in ENDED_BY.get(tag, ()):
                 self.top = self.top.parent
-            self.top = Element(tag, self.top, False)
+            own = tag not in CONTAINERS and tag not in HEADINGS and tag not in ("html", "body")
+            signs = frozenset(w.lower() for k, v in attrs if own and v and k in ("class", "id", "role", "aria-label") for w in UNWANTED.findall(v))
+            self.top = Element(tag, self.top, signs)
+            if signs:
+                self.suspects.append(self.top)
+            at = self.top.parent if tag in CONTAINERS or tag == "h1" else None
+            while at and not at.holds:
+                at.holds, at = True, at.parent
         elif tag == "a":
             self.in_link += 1
 
@@ -139,11 +156,49 @@ def read_tree(html: str) -> Tree:
     return tree
 
 
+def leave_out(tree: Tree) -> None:
+    """Drop the blocks in suspect elements with little of the page's text outside links and without an article, main or h1.
+
+    If little text is left, the word that most of the dropped text has is no sign on this page, and so on.
+    """
+    if not tree.suspects:
+        return
+    own: Counter[int] = Counter()
+    for element, text, linked in tree.blocks:
+        own[id(element.suspect)] += len(text) - linked
+    total, signs = own.total(), frozenset().union(*(e.signs for e in tree.suspects))
+    while True:
+        size, dropped, by_word = own.copy(), set(), Counter()
+        for e in reversed(tree.suspects):
+            if e.signs & signs and not e.holds and size[id(e)] < LITTLE * total:
+                dropped.add(id(e))
+                by_word.update(dict.fromkeys(e.signs & signs, size[id(e)]))
+            else:
+                size[id(e.parent.suspect)] += size[id(e)]
+        if not by_word or size[id(None)] >= LEFT * total:
+            break
+        signs -= {max(sorted(by_word), key=by_word.__getitem__)}
+    for e in tree.suspects:
+        e.signs &= signs
+        if id(e.parent.suspect) in dropped:
+            dropped.add(id(e))
+    tree.blocks = [b for b in tree.blocks if id(b[0].suspect) not in dropped]
+
+
+def is_suspect(element: Element) -> bool:
+    at = element.suspect
+    while at and not at.signs:
+        at = at.parent.suspect
+    return at is not None
+
+
 def score(tree: Tree) -> list[Element]:
     """Give points to the ancestors of every block; returns the elements that got any, in page order."""
     scored: dict[int, Element] = {}
     for element, text, linked in tree.blocks:
         points = 1 + text.count(",") + min(len(text) / 100, 3)
+        if is_suspect(element):
+            points *= DISCOUNT
         holder = element.parent if element.tag in ("p", "pre", "li", "td", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "dd", "dt") and element.parent else element
         share, at = 1.0, holder
         while at:
@@ -164,6 +219,7 @@ def worth(element: Element) -> float:
 
 def main_blocks(tree: Tree) -> list[str]:
     """Blocks of the best container and of the siblings that go with it, in page order."""
+    leave_out(tree)
     scored = score(tree)
     if not scored:
         return []
@@ -177,6 +233,8 @@ def main_blocks(tree: Tree) -> list[str]:
     least = max(2.0, 0.2 * worth(best))
 
     def kept(sibling: Element) -> bool:
+        if sibling.signs:
+            return False
         if sibling.tag in ("p", "blockquote", "pre", "h1", "h2", "h3"):
             return sibling.linked <= sibling.length / 4
         return worth(sibling) >= least and sibling.linked <= sibling.length / 2
