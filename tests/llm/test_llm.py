@@ -254,6 +254,18 @@ def test_html_words_only_make_suspect():
     assert html_extract.extract(f"<body><div>{body}</div><div id=comments>{comments}</div>") == text
 
 
+def test_html_keeps_short_siblings():
+    words = "Some long text, that is, the content of it."
+    body, text = "<div class=text>" + f"<p>{words}</p>" * 8 + "</div>", "\n".join([words] * 8)
+    assert html_extract.extract(f"<body><div id=c>{body}<h4>Steps</h4><ul><li>One</li></ul></div>") == f"{text}\nSteps\nOne"
+    after = "<h6>Part</h6><ol><li>One<li>Two</ol>Bare text<table><tr><td>1<td>2</table><dl><dt>a<dd>b</dl><div>The end.</div>"
+    links = "<div><a href=x>Next page</a></div>"
+    page = f"<body>{links}<div id=c><h5>Intro</h5><div>{body}</div>{after}{links}<div>Elsewhere</div></div><div class=sidebar>Side</div>"
+    assert html_extract.extract(page) == f"Intro\n{text}\nPart\nOne\nTwo\nBare text\n1\n2\na\nb\nThe end."
+    assert html_extract.extract(page.replace("id=c", "class=has-sidebar")) == html_extract.extract(page)
+    assert html_extract.extract(f"<body>{links}<ul><li><a href=x>Home</a></ul>{body}<ul><li><a href=x>Other</a></ul>") == text
+
+
 def test_warc(spark):
     pages = dict(duckdb.sql(f"SELECT page_id, html FROM '{SF}/pages.parquet'").fetchall())
     first = {}

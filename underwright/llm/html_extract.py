@@ -2,7 +2,8 @@
 
 Every paragraph gets points for its length and commas and passes them to its ancestors, in full to the parent, by half to
 the grandparent, and so on. An element's score is discounted by the share of its text that stands in links. The best
-container is kept, with those of its siblings that score well or are plain paragraphs.
+container is kept, with those of its siblings that score well or are plain paragraphs or headings, and those with few links
+that are next to or between kept ones, however short.
 
 Words such as "sidebar" in a class, id, role or label only make a block suspect: it is left out if it holds little of the page's text and no
 article, and scores less otherwise.
@@ -230,30 +231,50 @@ def main_blocks(tree: Tree) -> list[str]:
             best = at
             break
         at = at.parent
+    while best.tag not in CONTAINERS and best.parent and best.parent.tag not in ("body", "html", "#root") and best.parent.length == best.length:
+        best = best.parent  # a wrapper of the same text
+    around = best.parent if best.tag not in CONTAINERS else None
+    # the children of the parent in page order, its own text between them too, with their blocks
+    siblings: list[tuple[Element, list[str], int]] = []
+    for element, text, linked in tree.blocks:
+        at = element
+        while at and at is not best and (at is not around or at is not element) and at.parent is not around:
+            at = at.parent
+        if not at or around is None and at is not best:
+            continue
+        if siblings and siblings[-1][0] is at:
+            siblings[-1][1].append(text)
+            siblings[-1] = (at, siblings[-1][1], siblings[-1][2] + linked)
+        else:
+            siblings.append((at, [text], linked))
+    keep = kept_siblings(siblings, best, around)
+    return [text for k in keep for text in siblings[k][1]]
+
+
+def kept_siblings(siblings: list[tuple[Element, list[str], int]], best: Element, around: Element | None) -> list[int]:
+    """Places of the siblings to keep: those that score well or are plain paragraphs or headings, and next to or between kept ones all with few links."""
     least = max(2.0, 0.2 * worth(best))
 
-    def kept(sibling: Element) -> bool:
-        if sibling.signs:
+    def by_itself(sibling: Element, links: float) -> bool:
+        if sibling is best:
+            return True
+        if sibling is around or sibling.signs:
             return False
-        if sibling.tag in ("p", "blockquote", "pre", "h1", "h2", "h3"):
-            return sibling.linked <= sibling.length / 4
-        return worth(sibling) >= least and sibling.linked <= sibling.length / 2
-
-    chosen: dict[int, bool] = {}
-    out = []
-    for element, text, _ in tree.blocks:
-        at, verdict = element, None
-        while at and verdict is None:
-            if at is best:
-                verdict = True
-            elif at.parent is best.parent and best.tag not in CONTAINERS:
-                if id(at) not in chosen:
-                    chosen[id(at)] = kept(at)
-                verdict = chosen[id(at)]
-            at = at.parent
-        if verdict:
-            out.append(text)
-    return out
+        if sibling.tag in ("p", "blockquote", "pre") or sibling.tag in HEADINGS:
+            return links <= 1 / 4
+        return worth(sibling) >= least and links <= 1 / 2
+
+    links = [linked / max(1, sum(map(len, texts))) if s is around or not s.signs else 1.0 for s, texts, linked in siblings]  # suspect ones stay away
+    keep = {k for k, s in enumerate(siblings) if by_itself(s[0], links[k])}
+    first, last = min(keep), max(keep)
+    keep |= {k for k in range(first, last) if links[k] <= 1 / 2}
+    for step in (1, -1):
+        for k in sorted(keep, reverse=step < 0):
+            k += step
+            while 0 <= k < len(siblings) and k not in keep and links[k] <= 1 / 4:
+                keep.add(k)
+                k += step
+    return sorted(keep)
 
 
 def extract(html: str) -> str:
