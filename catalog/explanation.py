@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from catalog.models import matrices
 from catalog.registry import raw, register, round_doubles
 from catalog.rows import _CARD_SQL, _TERM_SQL
@@ -100,13 +102,16 @@ def _arrays(df):
 
 @register("pdp_cross")
 def _pdp_cross(spark, sf):
-    """Partial dependence of a fitted model over two transformed columns."""
+    """Partial dependence of a fitted model over the four transformed columns with the largest permutation importance."""
     matrix, _, validation, model = _fitted(spark, sf)
     columns = [f"f{i}" for i in range(len(matrix.names))]
-    flat = _arrays(validation).selectExpr("customer_id", *[f"x[{i}] AS f{i}" for i in range(len(columns))])
-    score = explain.model_margin(model, columns)
-    picked = [columns[matrix.names.index(n)] for n in ("credit_score", "credit_utilization_ratio")]
-    return round_doubles(explain.partial_dependence(flat, picked, lambda df: score(with_exprs(df, {"x": f"array({', '.join(columns)})"}))))
+    rows = validation.select("customer_id", "label", explain.vector_to_array("features").alias("x"))
+    flat = materialise(rows.selectExpr("customer_id", "label", *[f"x[{i}] AS f{i}" for i in range(len(columns))]), "flat")
+    margin = explain.model_margin(model, columns)
+    score = lambda df: margin(with_exprs(df, {"x": f"array({', '.join(columns)})"}))
+    ranked = explain.permutation_importance(flat, columns, score, label="label").orderBy(F.desc("importance"), "feature")
+    picked = [row["feature"] for row in ranked.limit(4).collect()]
+    return round_doubles(explain.partial_dependence(flat.drop("label"), picked, score))
 
 
 @register("shap_importance")

@@ -83,7 +83,7 @@ def _rfe(spark, sf):
 @register("permutation_select")
 def _permutation_select(spark, sf):
     table, names = matrix_rows(spark, sf)
-    return sel.permutation_select(table, names, trees=20, repeats=2)
+    return sel.permutation_select(table, names)
 
 
 # --- consensus of ranked lists that SQL can derive too --------------------------------------------
@@ -171,4 +171,4 @@ def _selection_table(spark, sf):
 @register("run_selection")
 def _run_selection(spark, sf):
     table, names = matrix_rows(spark, sf)
-    return sel.run_selection(table, names, trees=10, repeats=1, rfe_step=10)["table"]
+    return sel.run_selection(table, names)["table"]
