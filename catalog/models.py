@@ -166,8 +166,7 @@ def _compare_models(spark, sf):
     rows = split_cleaned(spark, sf)
     train = rows.filter("split = 'train'")
     registry = models.model_registry(train.count())
-    chosen = {m: registry[m] for m in ("Logistic Regression", "Decision Tree", "Naive Bayes", "KNN")}
-    return models.compare_models(spark, train, rows.filter("split = 'validation'"), chosen)
+    return models.compare_models(spark, train, rows.filter("split = 'validation'"), registry)
 
 
 @register("random_search")
@@ -180,31 +179,36 @@ def _random_search(spark, sf):
 @register("grid_refine")
 def _grid_refine(spark, sf):
     rows = split_cleaned(spark, sf).filter("split = 'train'")
-    folds = models.fold_matrices(rows, 3)
-    return tuning.search_table(spark, tuning.grid_refine(folds, rows.count(), models.TUNED_C))
+    folds = models.fold_matrices(rows, 5)
+    n = rows.count()
+    return tuning.search_table(spark, tuning.grid_refine(folds, n, tuning.random_search_logistic(folds, n).best["c"]))
 
 
 @register("early_stopping")
 def _early_stopping(spark, sf):
     _, train, validation = matrices(spark, sf)
-    found = tuning.early_stopping(train, validation, max_rounds=40, patience=5, first_rounds=10)
+    found = tuning.early_stopping(train, validation)
     return spark.createDataFrame([tuple(found.values())], "best_iteration int, val_auc double, rounds_fitted int, max_iterations int")
 
 
 @register("before_after")
 def _before_after(spark, sf):
+    """The default boosted model has the defaults of the reference's library; the tuned settings are those that the searches find."""
     _, train, validation = matrices(spark, sf)
-    n = train.count()
+    rows = split_cleaned(spark, sf).filter("split = 'train'")
+    folds = models.fold_matrices(rows, 5)
+    n = rows.count()
+    refined = tuning.grid_refine(folds, n, tuning.random_search_logistic(folds, n).best["c"])
     return tuning.before_after(spark, train, validation, {
-        "Logistic Regression": (models.logistic(n), models.logistic(n, models.TUNED_C)),
-        "XGBoost": (models.boosted(10, 4, weight="pos_weight"), models.boosted(20, 3, 0.05, "pos_weight", 0.9, 0.9, 3)),
+        "Logistic Regression": (models.logistic(n), models.logistic(n, refined.best["c"], 3000)),
+        "XGBoost": (models.boosted(100, 6, 0.3, "pos_weight"), models.boosted(weight="pos_weight", **tuning.random_search_boosted(folds).best)),
     })
 
 
 @register("fit_final_pair")
 def _fit_final_pair(spark, sf):
     _, train, validation = matrices(spark, sf)
-    best = {"Logistic Regression": {"c": models.TUNED_C}, "XGBoost": {"rounds": 20, "depth": 4}}
+    best = {"Logistic Regression": {"c": models.TUNED_C}, "XGBoost": {}}
     out = None
     for model, fitted in tuning.final_pair(best, train, train.count()).items():
         part = models.positive_scores(fitted.transform(validation)).selectExpr(f"'{model}' AS model", "*")

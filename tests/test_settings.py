@@ -57,3 +57,40 @@ def test_partial_dependence_of_the_top_four(spark, monkeypatch):
     with pytest.raises(Called) as found:
         all_queries()["pdp_cross"](spark, "/root/testdata/sf0.001")
     assert found.value.args[0] == ["f6", "f5", "f4", "f3"] and len(asked["features"]) > 4
+
+
+class Rows:
+    """Stands for a table of 100 rows."""
+
+    def filter(self, condition):
+        return self
+
+    def count(self):
+        return 100
+
+
+@pytest.fixture
+def no_rows(monkeypatch):
+    """Folds and searches without data; the folds are their number, the best C is 7."""
+    rows = Rows()
+    monkeypatch.setattr(queries, "split_cleaned", lambda spark, sf: rows)
+    monkeypatch.setattr(queries, "matrices", lambda spark, sf: (None, rows, rows))
+    monkeypatch.setattr(models, "fold_matrices", lambda rows, k: k)
+    monkeypatch.setattr(tuning, "random_search_logistic", lambda folds, n: tuning.Search([({"c": 7.0}, 0.9)]))
+
+
+def test_model_queries(spark, settings, no_rows):
+    found = settings("early_stopping", tuning, "early_stopping")
+    assert (found["max_rounds"], found["patience"], found["first_rounds"]) == (2000, 30, 100)
+    found = settings("compare_models", models, "compare_models")
+    assert set(found["models"]) == set(models.MODEL_NOTES) and len(found["models"]) == 10 and found["k"] == 5
+    found = settings("grid_refine", tuning, "grid_refine")
+    assert (found["folds"], found["best_c"]) == (5, 7.0)
+    assert not settings("fit_final_pair", tuning, "final_pair")["best"]["XGBoost"]
+
+
+def test_before_after_takes_what_the_searches_find(spark, settings, no_rows, monkeypatch):
+    monkeypatch.setattr(tuning, "grid_refine", lambda folds, n, c: tuning.Search([({"c": 2 * c}, 0.9)]))
+    monkeypatch.setattr(tuning, "random_search_boosted", lambda folds: tuning.Search([(dict(tuning.draw_boosted(1)[0], rounds=400), 0.9)]))
+    default, tuned = settings("before_after", tuning, "before_after")["pairs"]["XGBoost"]
+    assert default.getMaxIter() == 100 and tuned.getMaxIter() == 400
