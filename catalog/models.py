@@ -176,6 +176,12 @@ def _random_search(spark, sf):
     return tuning.search_table(spark, tuning.random_search_logistic(folds, rows.count()))
 
 
+@register("random_search_boosted")
+def _random_search_boosted(spark, sf):
+    folds = models.fold_matrices(split_cleaned(spark, sf).filter("split = 'train'"), 5)
+    return tuning.search_table(spark, tuning.random_search_boosted(folds))
+
+
 @register("grid_refine")
 def _grid_refine(spark, sf):
     rows = split_cleaned(spark, sf).filter("split = 'train'")

@@ -89,6 +89,11 @@ def test_model_queries(spark, settings, no_rows):
     assert not settings("fit_final_pair", tuning, "final_pair")["best"]["XGBoost"]
 
 
+def test_boosted_search(settings, no_rows):
+    found = settings("random_search_boosted", tuning, "random_search_boosted")
+    assert (found["folds"], found["n_iter"], found["effort"]) == (5, 30, 1.0)
+
+
 def test_before_after_takes_what_the_searches_find(spark, settings, no_rows, monkeypatch):
     monkeypatch.setattr(tuning, "grid_refine", lambda folds, n, c: tuning.Search([({"c": 2 * c}, 0.9)]))
     monkeypatch.setattr(tuning, "random_search_boosted", lambda folds: tuning.Search([(dict(tuning.draw_boosted(1)[0], rounds=400), 0.9)]))
