@@ -158,6 +158,14 @@ def test_near_duplicates_odd(odd, none):
     assert sum(r["kept"] for r in rows) == len({r["class_id"] for r in rows}) and bag_minhash.near_duplicates(none).count() == 0
 
 
+def test_texts_without_words_are_one_class(spark):
+    rows = [(1, ""), (2, " "), (3, "\n"), (4, "\t \r\n"), (5, None), (6, "one word"), (7, "  one   word "), (8, "other")]
+    found = {r["doc_id"]: r for r in bag_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [found[k]["class_id"] for k in range(1, 9)] == [1] * 5 + [6, 6, 8] and found[3]["class_size"] == 5
+    assert sum(r["kept"] for r in found.values()) == 3
+    assert bag_minhash.overlap(bag_minhash.np.zeros(0), bag_minhash.np.ones(1)) == 0
+
+
 def test_sharding(spark, odd, none):
     names = [f"s{k}" for k in range(7)]
     owner = sharding.fill_slots(names, 1009)

@@ -178,7 +178,9 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted Jaccard similarity of two bags, given as unsigned-sorted arrays with repeats."""
+    """Weighted Jaccard similarity of two bags, given as unsigned-sorted arrays with repeats; two empty bags are alike."""
+    if not len(a) and not len(b):
+        return 1.0
     both = np.sort(np.concatenate((a, b)))
     # the k-th repeat of a value in one bag meets the k-th in the other: count values by the smaller of both counts
     values, counts = np.unique(both, return_counts=True)
