@@ -50,17 +50,27 @@ def _sink_split(spark, sf):
     return spark.read.schema("customer_id string, creditworthy int, split string").parquet(path).filter("split = 'validation'")
 
 
-@register("json_artifact", sql(
-    "SELECT CAST(position AS INTEGER) AS position, feature FROM (SELECT feature, row_number() OVER (ORDER BY abs(r) DESC, feature) - 1 AS position "
-    "FROM c) WHERE position < 10", "cleaned", c=" UNION ALL ".join(
-        f"SELECT '{c}' AS feature, {r(f'corr({c}, creditworthy)')} AS r FROM cleaned" for c in NUMERIC)))
-def _json_artifact(spark, sf):
-    best = round_doubles(eda.target_correlation(cleaned(spark, sf))).orderBy(F.expr("abs(r)").desc(), "feature").limit(10)
+_RANKED = ("SELECT feature, row_number() OVER (ORDER BY abs(r) DESC, feature) - 1 AS position "
+           "FROM c")
+_CORRELATIONS = " UNION ALL ".join(f"SELECT '{c}' AS feature, {r(f'corr({c}, creditworthy)')} AS r FROM cleaned" for c in NUMERIC)
+
+
+def _artifact(spark, sf):
+    """The whole ranked list, written and read."""
+    best = round_doubles(eda.target_correlation(cleaned(spark, sf))).orderBy(F.expr("abs(r)").desc(), "feature")
     path = scratch_path(spark, "selected")
     files.write_json(spark, [row["feature"] for row in best.collect()], path)
     return spark.createDataFrame(list(enumerate(files.read_json(spark, path))), "position int, feature string")
 
 
+# the first ten places of the list, as the SQL asks; json_artifact_whole has all
+register("json_artifact", sql(
+    f"SELECT CAST(position AS INTEGER) AS position, feature FROM ({_RANKED}) WHERE position < 10", "cleaned", c=_CORRELATIONS))(
+    lambda spark, sf: _artifact(spark, sf).filter("position < 10"))
+register("json_artifact_whole", sql(
+    f"SELECT CAST(position AS INTEGER) AS position, feature FROM ({_RANKED})", "cleaned", c=_CORRELATIONS))(_artifact)
+
+
 # --- models on disk -------------------------------------------------------------------------------
 
 
