@@ -64,6 +64,16 @@ def test_directory_splits(spark):
     assert depth >= 5 and buckets.agg({"n_keys": "sum"}).first()[0] == 3000 and buckets.agg({"n_keys": "max"}).first()[0] <= 100
 
 
+def test_keys_are_placed_by_their_bucket(spark):
+    keys = spark.range(300).selectExpr("id AS key").unionByName(spark.range(40).selectExpr("xxhash64(id) AS key"))  # many keys with one prefix
+    directory, depth = exact_dedup.grow_directory(keys, 340, 100)
+    rows = exact_dedup.placed(keys, directory).collect()
+    held = collections.Counter((r["slot"], r["local_depth"]) for r in rows)
+    assert len({d for _, d in held}) > 2 and len(rows) == 340 and max(held.values()) <= 100
+    assert held == {(r["prefix"], r["local_depth"]): r["n_keys"] for r in directory.collect()}
+    assert all((r["key"] & 2**64 - 1) >> (64 - r["local_depth"]) == r["slot"] for r in rows)
+
+
 def test_mixing(spark, texts):
     rows = QUERIES["op3_mix_sources"](spark, SF).collect()
     assert rows and sorted(rows) == sorted(QUERIES["op3_mix_sources"](spark, SF).collect())

@@ -48,19 +48,34 @@ def grow_directory(keys: DataFrame, n_keys: int, bucket_keys: int) -> tuple[Data
         depth += 1
 
 
+def placed(rows: DataFrame, directory: DataFrame) -> DataFrame:
+    """``rows`` with the bucket that column ``key`` falls in: slot (its prefix) and local_depth.
+
+    The directory has a row per bucket and is broadcast; what is in no bucket of a lower depth is in one of the highest.
+    """
+    *lower, highest = sorted(r["local_depth"] for r in directory.select("local_depth").distinct().collect()) or [0]
+    slot, local_depth = slot_of(highest), F.lit(highest)
+    for depth in reversed(lower):
+        entries = directory.where(F.col("local_depth") == depth).select(F.col("prefix").alias(f"_at{depth}"))
+        rows = rows.join(F.broadcast(entries), slot_of(depth) == F.col(f"_at{depth}"), "left")
+        local_depth = F.when(F.col(f"_at{depth}").isNull(), local_depth).otherwise(F.lit(depth))
+        slot = F.coalesce(F.col(f"_at{depth}"), slot)
+    return rows.withColumns({"slot": slot, "local_depth": local_depth}).drop(*[f"_at{depth}" for depth in lower])
+
+
 def build_index(docs: DataFrame, log: DataFrame, bucket_keys: int) -> DataFrame:
-    """One row per different text, written by owner tasks in key order: slot, key, chain, text_sha256, group_size."""
+    """One row per different text, written by owner tasks in key order: slot, local_depth, key, chain, text_sha256, group_size."""
     spark = docs.sparkSession
-    _, depth = grow_directory(log, log.count(), bucket_keys)
-    texts = docs.select(F.xxhash64("norm").alias("key"), "norm").withColumn("slot", slot_of(depth))
-    chains = texts.groupBy("slot", "key", "norm").agg(F.count("*").alias("group_size"))
-    chains = chains.select("slot", "key", F.sha2("norm", 256).alias("text_sha256"), "group_size")
-    # keys are uniform, so equal spans of slots are equal shares of the keys
+    directory, _ = grow_directory(log, log.count(), bucket_keys)
+    texts = docs.select(F.xxhash64("norm").alias("key"), "norm")
+    chains = texts.groupBy("key", "norm").agg(F.count("*").alias("group_size"))
+    chains = placed(chains.select("key", F.sha2("norm", 256).alias("text_sha256"), "group_size"), directory)
+    # keys are uniform, so equal spans of the key space, in which every bucket has its place, are equal shares of the keys
     owners = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    owner = F.floor(F.col("slot") * owners / F.lit(float(2**depth))).cast("int")
-    chain = F.row_number().over(Window.partitionBy("owner", "slot", "key").orderBy("text_sha256"))
+    owner = F.floor(F.col("slot") / F.pow(F.lit(2.0), "local_depth") * owners).cast("int")
+    chain = F.row_number().over(Window.partitionBy("owner", "slot", "local_depth", "key").orderBy("text_sha256"))
     owned = chains.withColumn("owner", owner).repartition(owners, "owner").withColumn("chain", chain)
-    return stored(owned.sortWithinPartitions("slot", "key", "chain"), "buckets")
+    return stored(owned.sortWithinPartitions(F.col("slot") / F.pow(F.lit(2.0), "local_depth"), "key", "chain"), "buckets")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = 4096) -> DataFrame:
