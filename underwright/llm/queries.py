@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from underwright.llm import bag_minhash, exact_dedup, html_extract, language_id, lz_fingerprint, mixing, secret_scan, sentencepiece_codec, sharding, warc
+from underwright.llm import bag_minhash, exact_dedup, filter_audit, html_extract, language_id, lz_fingerprint, mixing, secret_scan, sentencepiece_codec, sharding, warc
 from underwright.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -57,7 +61,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_exact_dedup, op2_html_extract, op3_mix_sources, op4_lz_fingerprint, op5_bag_minhash, op6_sharding, op7_sentencepiece, op8_secret_scan, op9_warc, op10_language_id, pipeline)
+    named = (op1_exact_dedup, op2_html_extract, op3_mix_sources, op4_lz_fingerprint, op5_bag_minhash, op6_sharding, op7_sentencepiece, op8_secret_scan, op9_warc, op10_language_id, op12_filter_audit, pipeline)
     return {f.__name__: f for f in named}
 
 
@@ -68,4 +72,29 @@ def all_oracles() -> dict[str, str]:
             WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{exact_dedup.UPPER}', '{exact_dedup.LOWER}') AS t FROM documents)
             SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
             FROM d WINDOW g AS (PARTITION BY t)""",
+        "op12_filter_audit": r"""
+            WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+            l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+            flags AS (
+                SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, CAST(len(w) < 50 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 65 * len(w) AS INT)
+                    + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) AS INT) + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT)
+                    + 16 * CAST(coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false) AS INT) AS fails
+                FROM d LEFT JOIN l ON d.doc_id = l.doc_id),
+            k AS (SELECT unnest([0, 1, 2, 3, 4]) AS k),
+            o AS (
+                SELECT a.k AS a, b.k AS b, c.k AS c, d.k AS d, e.k AS e, chr(65 + a.k) || chr(65 + b.k) || chr(65 + c.k) || chr(65 + d.k) || chr(65 + e.k) AS filter_order
+                FROM k a, k b, k c, k d, k e WHERE (1 << a.k) + (1 << b.k) + (1 << c.k) + (1 << d.k) + (1 << e.k) = 31 AND len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+            s AS (
+                SELECT filter_order, 1 AS step, 1 << a AS own, 0 AS before FROM o UNION ALL SELECT filter_order, 2, 1 << b, 1 << a FROM o
+                UNION ALL SELECT filter_order, 3, 1 << c, (1 << a) + (1 << b) FROM o UNION ALL SELECT filter_order, 4, 1 << d, (1 << a) + (1 << b) + (1 << c) FROM o
+                UNION ALL SELECT filter_order, 5, 1 << e, 31 - (1 << e) FROM o),
+            cells AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM flags GROUP BY part, fails),
+            counted AS (
+                SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (fails & (own + before) = 0), 0) AS kept, coalesce(sum(n) FILTER (fails & before = 0 AND fails & own > 0), 0) AS removed,
+                    coalesce(sum(n) FILTER (fails & before > 0 AND fails & own > 0), 0) AS redundant, coalesce(sum(n) FILTER (fails = own), 0) AS unique_fails,
+                    coalesce(sum(good) FILTER (fails & before = 0 AND fails & own > 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (fails & before = 0 AND fails & own > 0), 0) AS toxic_lost
+                FROM cells, s GROUP BY part, filter_order, step, own)
+            SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+                CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+            FROM counted""",
     }
