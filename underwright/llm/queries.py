@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from underwright.llm import bag_minhash, exact_dedup, filter_audit, html_extract, importance, language_id, lz_fingerprint, mixing, secret_scan, sentencepiece_codec, sharding, warc
+from underwright.llm import bag_minhash, exact_dedup, filter_audit, html_extract, importance, language_id, lz_fingerprint, mixing, quality_net, secret_scan, sentencepiece_codec, sharding, warc
 from underwright.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_net.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -65,7 +69,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_exact_dedup, op2_html_extract, op3_mix_sources, op4_lz_fingerprint, op5_bag_minhash, op6_sharding, op7_sentencepiece, op8_secret_scan, op9_warc, op10_language_id, op12_filter_audit, op13_importance_resample, pipeline)
+    named = (op1_exact_dedup, op2_html_extract, op3_mix_sources, op4_lz_fingerprint, op5_bag_minhash, op6_sharding, op7_sentencepiece, op8_secret_scan, op9_warc, op10_language_id, op11_quality_net, op12_filter_audit, op13_importance_resample, pipeline)
     return {f.__name__: f for f in named}
 
 
