@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-The different words of a batch of texts are laid out as one text and its suffixes are sorted by as many characters as the
+Different words of a batch of texts are laid out as one text and its suffixes are sorted by as many characters as the
 longest piece has. Every piece is binary-searched: its occurrences are one range of the suffix array, and each is an edge
 from its first character to its end. Edges are sorted by the place where they end and relaxed from left to right.
 
@@ -14,8 +14,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,10 @@ from underwright.llm.common import pieces, text_or_empty
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 WORD = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n+")
-#: Bytes of text whose words are matched at once.
-AT_ONCE = 5 << 20
+#: Bytes of text that are encoded at once, one text at least, and words of it.
+AT_ONCE, AT_ONCE_WORDS = 2 << 20, 250_000
+#: Characters of different words that are matched at once, one word at least, and different words that a worker remembers.
+RUN_CHARS, MOST_WORDS = 1 << 18, 300_000
 NEVER = np.int64(2**40)
 WIDE = 2**32
 ENCODED = "doc_id long, n_chars long, n_tokens long, ids array<int>"
@@ -237,42 +240,107 @@ def encode_words(v: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarra
     return out.astype(np.int32), np.bincount(np.repeat(owner, copies), minlength=len(words))
 
 
+class Words:
+    """Ids of words that were met. New words are matched in runs of bounded length; beyond ``MOST_WORDS`` the table starts anew."""
+
+    def __init__(self, v: Vocabulary):
+        self.v = v
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def match(self) -> None:
+        """Ids of the words that have a number and no ids yet."""
+        runs, size = [[]], 0
+        for word in islice(self.number, len(self.count), None):
+            if runs[-1] and size + len(word) > RUN_CHARS:
+                runs.append([])
+                size = 0
+            runs[-1].append(word)
+            size += len(word) + 1
+        found = [encode_words(self.v, run) for run in runs if run]
+        self.ids = np.concatenate([self.ids, *(ids for ids, _ in found)])
+        self.count = np.concatenate([self.count, *(count for _, count in found)])
+
+    def ids_of(self, order: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words with these numbers one after the other, and their number per word."""
+        self.match()
+        start = np.cumsum(self.count) - self.count
+        words = np.array(order, np.int64)
+        lengths = self.count[words]
+        at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(start[words], lengths)
+        out = self.ids[at], lengths
+        if len(self.number) > MOST_WORDS:
+            self.clear()
+        return out
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all texts one after the other, and their number per text."""
+        found, count, order, owner = [], np.zeros(len(texts), np.int64), [], []
+
+        def flush() -> None:
+            ids, lengths = self.ids_of(order)
+            found.append(ids)
+            count[:] += np.bincount(np.repeat([k for k, _ in owner], [n for _, n in owner]).astype(np.int64), lengths, len(texts)).astype(np.int64)
+            order.clear()
+            owner.clear()
+
+        for k, text in enumerate(texts):
+            for words in word_lists(self.v.processor.Normalize(text)) if text else ():
+                number = self.number
+                order.extend([number.setdefault(w, len(number)) for w in words])
+                owner.append((k, len(words)))
+                if len(order) >= AT_ONCE_WORDS:
+                    flush()
+        flush()
+        return np.concatenate(found), count
+
+
+def word_lists(text: str) -> Iterator[list[str]]:
+    """The words of a normalised text, those of a long one in parts."""
+    if len(text) < RUN_CHARS:
+        yield WORD.findall(text)
+        return
+    words = (m[0] for m in WORD.finditer(text))
+    while part := list(islice(words, AT_ONCE_WORDS)):
+        yield part
+
+
+@lru_cache(maxsize=1)
+def known_words(model: bytes) -> Words:
+    """The table of a worker, which later tasks go on with."""
+    return Words(vocabulary(model))
+
+
 def encode_texts(v: Vocabulary, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of all texts one after the other, and their number per text."""
-    number: dict[str, int] = {}
-    order, per_text = [], []
-    for text in texts:
-        found = WORD.findall(v.processor.Normalize(text)) if text else []
-        order.extend([number.setdefault(w, len(number)) for w in found])
-        per_text.append(len(found))
-    ids, count = encode_words(v, list(number))
-    start = np.cumsum(count) - count
-    order = np.array(order, np.int64)
-    lengths = count[order]
-    at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(start[order], lengths)
-    text = np.repeat(np.arange(len(texts)), per_text)
-    return ids[at], np.bincount(text, lengths, minlength=len(texts)).astype(np.int64)
-
-
-def decode(v: Vocabulary, ids: list[int]) -> str:
+    return Words(v).encode(texts)
+
+
+def decode(v: Vocabulary, ids: Sequence[int]) -> str:
     """Text of token ids; the space that the encoder puts before a text is taken off."""
-    text = b"".join(map(v.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+    parts = (b"".join(map(v.bytes_of.__getitem__, ids[k : k + AT_ONCE_WORDS])) for k in range(0, len(ids), AT_ONCE_WORDS))
+    text = b"".join(parts).decode("utf-8", "replace")
     return text[1:] if text[:1] == " " else text
 
 
 def _encoded(model: bytes, decoded: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(model)
+        words = known_words(model)
+        v = words.v
         for batch in batches:
             for part in pieces(batch, "text", AT_ONCE):
                 texts = part.column("text").to_pylist()
-                ids, count = encode_texts(v, texts)
+                ids, count = words.encode(texts)
                 ends = np.concatenate(([0], np.cumsum(count)))
                 columns = [part.column("doc_id"), pa.array(map(len, texts), pa.int64()), pa.array(count, pa.int64()), pa.ListArray.from_arrays(ends.astype(np.int32), ids)]
                 names = ["doc_id", "n_chars", "n_tokens", "ids"]
                 if decoded:
-                    back = [decode(v, ids[ends[k] : ends[k + 1]].tolist()) for k in range(len(texts))]
-                    columns += [pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back], pa.string()), pa.array([a == b for a, b in zip(texts, back, strict=True)], pa.bool_())]
+                    back = (decode(v, ids[a:b]) for a, b in zip(ends, ends[1:], strict=False))
+                    checks = [(hashlib.sha256(t.encode()).hexdigest(), t == text) for t, text in zip(back, texts, strict=True)]
+                    columns += [pa.array([c[k] for c in checks], kind) for k, kind in enumerate((pa.string(), pa.bool_()))]
                     names += ["decoded_sha256", "round_trip"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -284,7 +352,8 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Null texts count as empty, and empty texts have no ids. Characters that no piece has become byte pieces. A text that holds U+2581 itself
     decodes with spaces there, as the format has it. Repeated rows and null ids stay; empty tables give
-    empty results; other columns aren't read. No shuffle; memory is bounded by ``AT_ONCE`` and the longest text.
+    empty results; other columns aren't read. No shuffle. Words are matched in runs of ``RUN_CHARS`` characters and their ids
+    remembered, so memory is bounded by the longest text with its ids and the longest word. Models with pieces of over 63 characters are refused.
     The driver reads the model file, whose bytes go to the tasks.
     """
     with open(model, "rb") as file:
