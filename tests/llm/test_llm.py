@@ -336,3 +336,16 @@ def test_pipeline(spark, tmp_path):
         if name in ("language", "exact_dedup", "near_dedup"):
             assert 0.85 * before.count() <= docs.count() <= before.count() and docs.exceptAll(before).isEmpty()
     assert docs.where("NOT round_trip").isEmpty() and docs.count() > 500
+
+
+@pytest.mark.parametrize("limit", [0, 100_000])
+def test_warc_by_either_join_leaves_no_streams(spark, monkeypatch, limit):
+    monkeypatch.setattr(warc, "BROADCAST_REVISITS", limit)
+    rows = [(k, f"u{k}", f"page {k % 7}") for k in range(60)] + [(None, "u", "page 1"), (None, "u", "page 1"), (3, "v", "page 3")]
+    pages = spark.createDataFrame([(*r, 1, "clash", "clash") for r in rows], "page_id long, url string, html string, first int, payload string, refers_to string")
+    found, files = warc.archive(pages)
+    got = sorted((r["page_id"] if r["page_id"] is not None else -1, r["record_type"], r["refers_to"]) for r in found.collect())
+    assert got == sorted([(k, "response", None) if k < 7 else (k, "revisit", k % 7) for k in range(60)] + [(-1, "revisit", 1)] * 2 + [(3, "response", None)])
+    system, path = warc.pafs.FileSystem.from_uri(files.first()["file"])
+    folder = path.rpartition("/")[0]
+    assert folder.endswith("/members") and system.get_file_info(folder.removesuffix("members") + "streams").type == warc.pafs.FileType.NotFound

@@ -28,6 +28,8 @@ from underwright.session import scratch_path
 #: A new archive begins after so many bytes of records.
 FILE_BYTES = 128 << 20
 CHUNK = 1 << 20
+#: Revisits (id, digest and id: about 100 bytes each) that may be broadcast.
+BROADCAST_REVISITS = 100_000
 LEVEL = 2
 GZIP = 31  # zlib's window bits for a gzip header
 #: The pages have no date of their own.
@@ -44,6 +46,13 @@ def opened(uri: str, mode: str):
     return system.open_output_stream(path, compression=None)
 
 
+def delete(uri: str) -> None:
+    """Remove a folder that has no reader left, where there is one."""
+    system, path = pafs.FileSystem.from_uri(uri)
+    if system.get_file_info(path).type != pafs.FileType.NotFound:
+        system.delete_dir(path)
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """A response, or a revisit without payload. The HTTP header tells the full length of the payload."""
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
@@ -185,14 +194,17 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Of records with equal payloads of at least ``min_bytes`` bytes the one with the smallest id is a response, the others revisit it.
     Rows with the same id and payload have the same type. A null id is never the smallest; null html is an empty payload,
-    a null url becomes ``urn:page:<id>``. Other columns aren't read, an empty table gives an empty result.
+    a null url becomes ``urn:page:<id>``. Other columns aren't read, an empty table gives an empty result. Up to ``BROADCAST_REVISITS`` revisits
+    meet the pages without a shuffle of html; more of them are joined by id and payload. The monolithic archives are deleted when the others are written.
     """
-    pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), text_or_empty(html_col).alias("html")).withColumn("payload", F.sha2("html", 256))
-    again = revisits(pages, min_bytes).withColumnsRenamed({"page_id": "_id", "payload": "_payload"})
+    pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), text_or_empty(html_col).alias("html")).withColumn("payload", F.unhex(F.sha2("html", 256)))
+    again = stored(revisits(pages, min_bytes), "warc-revisits").withColumnsRenamed({"page_id": "_id", "payload": "_payload"})
+    again = F.broadcast(again) if again.count() <= BROADCAST_REVISITS else again
     rows = pages.join(again, pages["page_id"].eqNullSafe(again["_id"]) & (pages["payload"] == again["_payload"]), "left")
     folder = scratch_path(pages.sparkSession, "llm-warc")
     one_stream = stored(write_monolithic(rows.select("page_id", "url", "html", F.col("first").alias("refers_to")), f"{folder}/streams"), "warc-streams")
     members = stored(normalise(by_file(one_stream), f"{folder}/members"), "warc-members")
+    delete(f"{folder}/streams")  # all that follows reads the members
     return read_members(by_file(members)), members
 
 
