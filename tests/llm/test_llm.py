@@ -6,6 +6,7 @@ import base64
 import collections
 import hashlib
 import re
+import time
 import zlib
 
 import duckdb
@@ -349,3 +350,24 @@ def test_warc_by_either_join_leaves_no_streams(spark, monkeypatch, limit):
     system, path = warc.pafs.FileSystem.from_uri(files.first()["file"])
     folder = path.rpartition("/")[0]
     assert folder.endswith("/members") and system.get_file_info(folder.removesuffix("members") + "streams").type == warc.pafs.FileType.NotFound
+
+
+WEB_TOKEN = "eyJhbGciOiJIUzI1NiJ9.eyJhIjoxfQ.c2ln"
+
+
+@pytest.mark.parametrize("part", [
+    "eyJ", "eyJa.", "eyJa.eyJ", "eyJ-", "AKIA", "AKIA0 ", "password", "token =", "token= ", "secret ", "secret  :  \"", "api_key'", "ghp_", "npm_a", "-----BEGIN ", "-----BEGIN A", "a", "0", "0" * 31 + "g", "İ", " ", "=", WEB_TOKEN,
+])
+def test_secrets_in_linear_time(part):
+    text = part * ((1 << 20) // len(part))
+    began = time.process_time()
+    spans = secret_scan.scan(text)
+    assert time.process_time() - began < 4
+    assert [s for s in spans if s[1] < 3] == brute_spans(text)
+
+
+def test_web_tokens_after_failed_ones():
+    text = f"eyJeyJ eyJa-eyJb. {WEB_TOKEN} eyJ.eyJ.{WEB_TOKEN} eyJeyJx.{WEB_TOKEN}"
+    found = {(m.start(), m.end()) for m in re.finditer(re.escape(WEB_TOKEN), text)}
+    assert {(s, e) for s, k, e in secret_scan.scan(text) if secret_scan.KINDS[k] == "web"} <= found
+    assert (text.index(WEB_TOKEN), text.index(WEB_TOKEN) + len(WEB_TOKEN)) in {(s, e) for s, k, e in secret_scan.scan(text) if secret_scan.KINDS[k] == "web"}
