@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("primitives", "rows", "tables", "quality", "fitted", "models", "selection", "explanation", "flows")
+MODULES = ("primitives", "rows", "tables", "quality", "fitted", "models", "selection", "explanation", "flows", "governance")
 
 
 def _load() -> None:

@@ -15,7 +15,7 @@ from underwright.functions.ranking import window
 from underwright.functions.scalars import long_rows, name, number, text, unpivot, with_exprs
 from underwright.operators.eda import pearson_pairs
 from underwright.operators.explain import permutation_importance
-from underwright.operators.models import SEED, positive_scores
+from underwright.operators.models import SEED, logistic, positive_scores
 from underwright.operators.splits import holdout_80_20
 from underwright.operators.transforms import class_weights, with_class_weight
 from underwright.session import materialise
@@ -72,6 +72,60 @@ def vif(df: DataFrame, columns: Sequence[str], singular: float = 0.9999) -> Data
     table = df.sparkSession.createDataFrame(rows, "feature string, vif double")
     return table.orderBy(F.desc("vif"), "feature")
 
+def sweep(matrix: np.ndarray, k: int) -> np.ndarray:
+    """The sweep operator: moves variable k between the explained and the explaining ones; a second sweep takes it back."""
+    pivot = matrix[k, k]
+    out = matrix - np.outer(matrix[:, k], matrix[k]) / pivot
+    out[k], out[:, k] = matrix[k] / pivot, matrix[:, k] / pivot
+    out[k, k] = -1 / pivot
+    return out
+
+
+def vif_prune(df: DataFrame, columns: Sequence[str], limit: float = VIF_LIMIT, singular: float = 1e-4) -> tuple[list[str], DataFrame]:
+    """Survivors of dropping the column with the largest VIF until none exceeds ``limit``, and a row per column.
+
+    One distributed pass gives the correlation matrix. All columns are swept into it, so the negated diagonal holds the VIFs; dropping a
+    column is one more sweep, without another scan. A column that those before it explain up to 1 - ``singular`` can't be
+    swept: it is dropped first, with an infinite VIF. Constant columns have no correlations and VIF 1. Ties go to the later column. Rows: feature, dropped (1, 2 ..
+    in that order, null for survivors), vif (when dropped, or at the end).
+    """
+    columns = list(columns)
+    index = {c: i for i, c in enumerate(columns)}
+    matrix = np.eye(len(columns))
+    for row in pearson_pairs(df, columns).collect():
+        if row["r"] is not None:
+            i, j = index[row["a"]], index[row["b"]]
+            matrix[i, j] = matrix[j, i] = row["r"]
+    dropped, swept = [], []
+    for k, c in enumerate(columns):
+        if matrix[k, k] <= singular:
+            dropped.append((c, float("inf")))
+        else:
+            matrix = sweep(matrix, k)
+            swept.append(k)
+    while swept:
+        worst = max(swept, key=lambda k: (round(-matrix[k, k], 9), k))
+        if -matrix[worst, worst] <= limit:
+            break
+        dropped.append((columns[worst], float(-matrix[worst, worst])))
+        matrix = sweep(matrix, worst)
+        swept.remove(worst)
+    rows = [(c, k, v) for k, (c, v) in enumerate(dropped, 1)] + [(columns[k], None, float(-matrix[k, k])) for k in swept]
+    table = df.sparkSession.createDataFrame(rows, "feature string, dropped int, vif double")
+    return [columns[k] for k in swept], table
+
+
+def pruned_scorecard(df: DataFrame, columns: Sequence[str], limit: float = VIF_LIMIT, target: str = TARGET) -> DataFrame:
+    """``vif_prune`` with the weights of a balanced logistic fit on the survivors: feature, dropped, vif, weight (null for dropped ones)."""
+    survivors, table = vif_prune(df, columns, limit)
+    sizes = {r[target]: r["count"] for r in df.groupBy(target).count().collect()}
+    total = sum(sizes.values())
+    balanced = " ".join(f"WHEN {c} THEN {number(total / (len(sizes) * n))}" for c, n in sizes.items())
+    rows = VectorAssembler(inputCols=survivors, outputCol="features").transform(df.selectExpr(*map(name, survivors), f"CAST({target} AS DOUBLE) AS label", f"CASE {target} {balanced} END AS weight"))
+    fitted = logistic(total).fit(rows.select("features", "label", "weight"))
+    weights = df.sparkSession.createDataFrame([(c, float(w)) for c, w in zip(survivors, fitted.coefficients, strict=True)], "feature string, weight double")
+    return table.join(F.broadcast(weights), "feature", "left").orderBy("dropped", "feature")
+
 
 def mutual_information(df: DataFrame, columns: Sequence[str], target: str = TARGET, bins: int = MI_BINS) -> DataFrame:
     """Mutual information in nats between each binned column and the target, largest first.
