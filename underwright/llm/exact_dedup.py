@@ -5,7 +5,7 @@ of the key); while a slot holds more than ``bucket_keys`` different keys, the di
 slots are split. Copies of a text are one key, so a text that a third of all rows share can't overfill a
 slot. The texts are gathered by (slot, key, bytes) after partial aggregation in the map tasks: different texts of one
 key become a chain, told apart by their bytes. Owner tasks then take contiguous key ranges of the directory, number the
-chains and write the bucket files. DataFrame functions only.
+chains and write the bucket files; a chain carries the size of its group and the id that stays. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql.window import Window
 
 from underwright.llm.common import join_groups, stored, text_or_empty
 
+#: A bucket holds as many more keys as it takes to keep the directory, which is broadcast, near this size.
+MOST_BUCKETS = 1 << 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -64,12 +66,13 @@ def placed(rows: DataFrame, directory: DataFrame) -> DataFrame:
 
 
 def build_index(docs: DataFrame, log: DataFrame, bucket_keys: int) -> DataFrame:
-    """One row per different text, written by owner tasks in key order: slot, local_depth, key, chain, text_sha256, group_size."""
+    """One row per different text, written by owner tasks in key order: slot, local_depth, key, chain, text_sha256, group_size, keep_id."""
     spark = docs.sparkSession
-    directory, _ = grow_directory(log, log.count(), bucket_keys)
-    texts = docs.select(F.xxhash64("norm").alias("key"), "norm")
-    chains = texts.groupBy("key", "norm").agg(F.count("*").alias("group_size"))
-    chains = placed(chains.select("key", F.sha2("norm", 256).alias("text_sha256"), "group_size"), directory)
+    n_rows = log.count()
+    directory, _ = grow_directory(log, n_rows, max(bucket_keys, n_rows // MOST_BUCKETS))
+    texts = docs.select(F.xxhash64("norm").alias("key"), "norm", "doc_id")
+    chains = texts.groupBy("key", "norm").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"))
+    chains = placed(chains.select("key", F.sha2("norm", 256).alias("text_sha256"), "group_size", "keep_id"), directory)
     # keys are uniform, so equal spans of the key space, in which every bucket has its place, are equal shares of the keys
     owners = int(spark.conf.get("spark.sql.shuffle.partitions"))
     owner = F.floor(F.col("slot") / F.pow(F.lit(2.0), "local_depth") * owners).cast("int")
@@ -90,25 +93,31 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     log = stored(docs.select("doc_id", F.xxhash64("norm").alias("key"), F.sha2("norm", 256).alias("text_sha256"), F.monotonically_increasing_id().alias("row")), "log")
     index = build_index(docs, log, bucket_keys)
     group = ["key", "text_sha256"]
-    last = log.groupBy(*group).agg(F.max(F.struct("doc_id", "row")).alias("last"))
-    copies = index.where("group_size > 1").join(last, group).select(*group, "group_size", F.col("last.doc_id").alias("keep_id"), F.col("last.row").alias("keep_row"))
-    copies = stored(copies, "copies")
-
-    decided = join_groups(log, copies, group, log.count())
-    alone = F.col("group_size").isNull()
+    copies = stored(index.where("group_size > 1").select(*group, "group_size", "keep_id"), "copies")
+    n_rows = log.count()
+    decided = join_groups(log, copies, group, n_rows).withColumnRenamed("group_size", "n")
+    # of rows with one id and one text, one may stay
+    twin = F.struct("key", "text_sha256", "doc_id").alias("_twin")
+    twins = log.select(twin, "row").groupBy("_twin").agg(F.min("row").alias("first"), F.count("*").alias("group_size")).where("group_size > 1")
+    decided = join_groups(decided.select("*", twin), stored(twins, "twins"), ["_twin"], n_rows)
+    alone = F.col("n").isNull()
     return decided.select(
         F.col("doc_id").alias(id_col),
         F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        (alone | (F.col("row") == F.col("keep_row"))).alias("kept"),
+        F.coalesce("n", F.lit(1).cast("long")).alias("group_size"),
+        (alone | (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("row") == F.coalesce("first", "row")))).alias("kept"),
         "text_sha256",
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; one row of repeated ones."""
+    """The rows of ``docs`` that stay, with all their columns; one row of repeated ones.
+
+    Of rows with one id and one text that differ in other columns, or in the case of A-Z, the one with the smallest hash of all its
+    columns stays, so a recomputed task chooses the same. Nulls, empty texts and tables are as in ``exact_dedup``.
+    """
     kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
     rows = docs.select(F.struct("*").alias("_doc"), F.col(id_col).alias("_id"), F.sha2(normalised(text_col), 256).alias("_sha"))
     joined = rows.join(kept, rows["_id"].eqNullSafe(kept["_id"]) & (rows["_sha"] == kept["_sha"]), "left_semi")
-    one = F.row_number().over(Window.partitionBy("_id", "_sha").orderBy(F.lit(0)))
+    one = F.row_number().over(Window.partitionBy("_id", "_sha").orderBy(F.xxhash64("_doc")))
     return joined.withColumn("_n", one).where("_n = 1").select("_doc.*")
