@@ -281,8 +281,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_of_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept, one of each class, with all their columns."""
+    """The rows of ``docs`` that are kept, one of each class, with all their columns.
+
+    Of rows with one id and copies of one text, the one with the smallest hash of all its columns is kept, so a recomputed task
+    chooses the same. Nulls, empty texts and tables are as in ``near_duplicates``.
+    """
     kept = near_duplicates(docs, id_col, text_col).where("kept").select(F.struct(id_col, "text_key").alias("_one")).distinct()
     rows = docs.select(F.struct("*").alias("_doc"), F.struct(F.col(id_col).cast("long").alias(id_col), text_key(text_col).alias("text_key")).alias("_one"))
-    one = F.row_number().over(Window.partitionBy("_one").orderBy(F.lit(0)))
+    one = F.row_number().over(Window.partitionBy("_one").orderBy(F.xxhash64("_doc")))
     return rows.join(kept, "_one", "left_semi").withColumn("_n", one).where("_n = 1").select("_doc.*")

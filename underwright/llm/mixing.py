@@ -151,11 +151,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with all their columns."""
+    """The rows of ``docs`` as often as the mix takes them, with all their columns.
+
+    Rows with equal id, source and size are numbered by a hash of all their columns, so a recomputed task numbers them alike. Rows that
+    the mix takes no time are left out, and so is everything of an empty table; nulls are as in ``mix``.
+    """
     plan = mix(docs, id_col, text_col, source_col).where("copies > 0")
     plan = plan.select(F.struct(F.col(id_col).alias("a"), F.col("source").alias("b"), F.col("size").alias("c")).alias("_key"), F.col("copy").alias("_copy"), "copies")
     size = F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long")
     rows = docs.select(F.struct("*").alias("_doc"), F.struct(F.col(id_col).alias("a"), F.col(source_col).alias("b"), size.alias("c")).alias("_key"))
-    numbered = rows.withColumn("_copy", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0))).cast("long") - 1)
+    numbered = rows.withColumn("_copy", F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64("_doc"))).cast("long") - 1)
     joined = numbered.join(plan, ["_key", "_copy"])
     return joined.withColumn("_n", F.explode(F.expr("sequence(1, copies)"))).select("_doc.*")
