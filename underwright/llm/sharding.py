@@ -17,6 +17,8 @@ from underwright.session import scratch_path
 
 #: Size limit of the broadcast table.
 MOST_SLOTS = 1 << 20
+#: Writing tasks for each partition of the input, and parts of shards that a task writes.
+TASKS_PER_SPLIT, PARTS_PER_TASK = 4, 8
 
 
 def is_prime(n: int) -> bool:
@@ -61,13 +63,14 @@ def place(df: DataFrame, key_cols: list[str], shards: list[str], slots: int = 65
 def write_shards(df: DataFrame, key_cols: list[str], shards: list[str], path: str, slots: int = 65_537) -> DataFrame:
     """Write the placed rows as one folder per shard and return them as read back.
 
-    The rows of a shard are dealt by a hash of the whole row into parts, whose number grows with the number of shuffle
-    partitions: one shard isn't one task, and a key that many rows share isn't either.
+    The rows of a shard are dealt by a hash of the whole row into parts, whose number grows with the number of partitions that the
+    input is read in: one shard isn't one task, and a key that many rows share isn't either. Nulls and repeated rows are placed as in
+    ``place``; an empty table gives an empty folder and an empty result.
     """
     spark = df.sparkSession
     placed = place(df, key_cols, shards, slots)
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(shards))
-    parts = -(-8 * tasks // len(shards))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS_PER_SPLIT * df.rdd.getNumPartitions())
+    parts = -(-PARTS_PER_TASK * tasks // len(shards))
     dealt = placed.withColumn("_part", F.pmod(F.xxhash64("row"), F.lit(parts)))
     dealt.repartition(tasks, "shard", "_part").sortWithinPartitions("shard").drop("_part").write.partitionBy("shard").parquet(path)
     return spark.read.schema(placed.schema).parquet(path)
