@@ -148,8 +148,8 @@ def codes_of(chunks: list[bytes]) -> np.ndarray:
 def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows: int = FIT_ROWS) -> Network | float:
     """A trained network; where only one label is known that label, and 0.5 where none is.
 
-    Learns from ids that aren't held out, have a text, and whose label rows agree: of each label the ``rows`` with the smallest hashes of
-    their ids. Each gives ``FIT_CHUNKS`` chunks at most, the first at its begin and the last at its end, so the driver gets
+    Learns from ids that aren't held out, have a text, and whose label rows agree: of about 2 x ``rows`` per label, drawn by a hash, the ``rows``
+    with the smallest hashes of their ids. Each gives ``FIT_CHUNKS`` chunks at most, the first at its begin and the last at its end, so the driver gets
     at most 2 x ``rows`` x ``FIT_CHUNKS`` chunks. Of several rows with one id, one text is taken.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("_label")).where("_id IS NOT NULL AND _label IN (0, 1)").where(~held_out("_id"))
@@ -161,7 +161,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows:
         if len(size) < 2:
             return float(next(iter(size))) if size else 0.5
         order = Window.partitionBy("_label").orderBy(F.xxhash64("_id"), "_id")
-        chosen = known.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows).drop("_n")
+        # what may be chosen at all: few more rows than wanted, so that a label's rows needn't meet in one task
+        some = F.expr(f"pmod(xxhash64(_id, 'sample'), 1000000) < CASE _label WHEN 1 THEN {2e6 * rows / size[1]} ELSE {2e6 * rows / size[0]} END")
+        chosen = known.where(some).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows).drop("_n")
         count = f"greatest(1, least({FIT_CHUNKS}, CAST(ceil(octet_length(_text) / {HOP}) AS INT)))"
         begin = f"CAST(CAST(k AS BIGINT) * greatest(octet_length(_text) - {CHUNK}, 0) div greatest(_chunks - 1, 1) AS INT)"
         cut = F.expr(f"transform(sequence(0, _chunks - 1), k -> substring(_text, {begin} + 1, {CHUNK + WIDTH - 1}))")
