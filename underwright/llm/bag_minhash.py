@@ -27,8 +27,8 @@ SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: A pair with similarity 0.8 shares no band with probability (1 - 0.8^5)^28 < 1.5e-5.
 BANDS, ROWS = 28, 5
 COMPONENTS = BANDS * ROWS
-#: Bytes of text that are hashed at once.
-AT_ONCE = 4 << 20
+#: Bytes of text that are hashed at once, and points that are drawn at once.
+AT_ONCE, MOST_POINTS = 1 << 20, 1_000_000
 #: How many of the central documents of its buckets a document is first compared with.
 TRIED = 4
 
@@ -129,7 +129,7 @@ def signatures(hashes: np.ndarray, owner: np.ndarray, n_texts: int) -> np.ndarra
         active = now <= times.max(axis=1)[owner]
         seed, owner, above, width, now = seed[active], owner[active], above[active], width[active], now[active]
         drawn += count
-        count = min(2 * count, 64, max(1, 4_000_000 // max(1, len(seed))))
+        count = min(2 * count, 64, max(1, MOST_POINTS // max(1, len(seed))))
     return winners
 
 
