@@ -130,19 +130,18 @@ def _model_registry(spark, sf):
 
 
 @register("model_reference_join", sql(
-    "SELECT model, roc_auc, CASE WHEN model = 'Logistic Regression' THEN 'fast and fully explainable' WHEN model = 'Naive Bayes' THEN "
-    "'very fast' ELSE '' END AS advantages, CASE WHEN model = 'Logistic Regression' THEN 'first choice under regulation' WHEN model = "
-    "'Naive Bayes' THEN 'quick plausibility check' ELSE '' END AS business_suitability FROM (SELECT CASE model WHEN 'scorecard' THEN 'Logistic Regression' WHEN 'squared' THEN "
+    "SELECT t.model, roc_auc, border, needs_scaling, class_weights, trees, fit_passes, reason_codes FROM (SELECT CASE model WHEN 'scorecard' THEN 'Logistic Regression' WHEN 'squared' THEN "
     "'Naive Bayes' ELSE model END AS model, auc AS roc_auc FROM (SELECT model, round(sum(n1 * (c0 - n0 / 2)) / max(t1 * t0), 6) AS auc "
     "FROM (SELECT model, n1, n0, sum(n0) OVER (PARTITION BY model ORDER BY p) AS c0, sum(n1) OVER (PARTITION BY model) AS t1, sum(n0) OVER "
     "(PARTITION BY model) AS t0 FROM (SELECT model, p, CAST(sum(y) AS DOUBLE) AS n1, CAST(sum(1 - y) AS DOUBLE) AS n0 FROM model_scores "
-    "GROUP BY ALL)) GROUP BY 1))", "model_scores"))
+    "GROUP BY ALL)) GROUP BY 1)) t LEFT JOIN (VALUES ('Logistic Regression', 'linear', true, true, CAST(0 AS INTEGER), CAST(1000 AS INTEGER), true), "
+    "('Naive Bayes', 'quadratic', false, false, 0, 1, false)) f(model, border, needs_scaling, class_weights, trees, fit_passes, reason_codes) ON f.model = t.model", "model_scores"))
 def _model_reference_join(spark, sf):
     from underwright.sources.scorecard import score_variants
 
     table = metrics.rank_metrics(score_variants(scored(raw(spark, sf))), ["model"]).selectExpr(
         "CASE model WHEN 'scorecard' THEN 'Logistic Regression' WHEN 'squared' THEN 'Naive Bayes' ELSE model END AS model", "roc_auc")
-    return models.model_reference_join(table).select("model", "roc_auc", "advantages", "business_suitability")
+    return models.model_reference_join(table)
 
 
 @register("positive_scores")

@@ -34,21 +34,6 @@ TUNED_C = 0.2157
 PREFIX = "t_"
 FIT_THREADS = 4
 
-# What each model offers and costs, for the comparison table.
-MODEL_NOTES = {
-    "Logistic Regression": ("fast and fully explainable", "linear effects only", "very high", "first choice under regulation"),
-    "Decision Tree": ("readable rules", "unstable, overfits", "high", "for explaining, not for deciding"),
-    "Random Forest": ("robust without tuning", "large model, slower scoring", "medium", "dependable in production"),
-    "Gradient Boosting": ("accurate on mixed signals", "slow sequential training", "medium", "good once tuned"),
-    "XGBoost": ("accurate and regularised boosting", "many settings", "medium", "usual challenger in credit risk"),
-    "LightGBM": ("fast boosting on wide data", "overfits small tables", "medium", "scoring of large portfolios"),
-    "CatBoost": ("strong defaults", "long training", "medium", "portfolios with many categories"),
-    "SVM": ("smooth non-linear border", "costly on many rows", "low", "comparison only"),
-    "KNN": ("nothing to train", "slow scoring", "low", "too slow for instant decisions"),
-    "Naive Bayes": ("very fast", "assumes independence", "high", "quick plausibility check"),
-}
-
-
 # --- estimators that Spark ML lacks ---------------------------------------------------------------
 
 
@@ -154,34 +139,54 @@ def kernel_svm(n_rows: int, c: float = 1.0, dimension: int = 256, max_iter: int
     ])
 
 
-def model_registry(n_rows: int, seed: int = SEED, effort: float = 1.0) -> dict[str, Callable]:
-    """Name to estimator factory. ``effort`` scales the number of trees and rounds."""
-
-    def rounds(n: int) -> int:
-        return max(1, round(n * effort))
-
+def model_registry(n_rows: int, seed: int = SEED) -> dict[str, Callable]:
+    """Name to estimator factory."""
     return {
         "Logistic Regression": lambda: logistic(n_rows),
         "Decision Tree": lambda: DecisionTreeClassifier(
             featuresCol="features", labelCol="label", weightCol="weight", maxDepth=8, seed=seed),
         "Random Forest": lambda: RandomForestClassifier(
-            featuresCol="features", labelCol="label", weightCol="weight", numTrees=rounds(200), maxDepth=30, seed=seed),
-        "Gradient Boosting": lambda: boosted(rounds(200), 3, seed=seed),
-        "XGBoost": lambda: boosted(rounds(300), 4, weight="pos_weight", subsample=0.9, columns=0.9, seed=seed),
-        "LightGBM": lambda: boosted(rounds(300), 5, weight="pos_weight", subsample=0.9, columns=0.9, seed=seed),
-        "CatBoost": lambda: boosted(rounds(300), 6, weight="weight", seed=seed),
+            featuresCol="features", labelCol="label", weightCol="weight", numTrees=200, maxDepth=30, seed=seed),
+        "Gradient Boosting": lambda: boosted(200, 3, seed=seed),
+        "XGBoost": lambda: boosted(300, 4, weight="pos_weight", subsample=0.9, columns=0.9, seed=seed),
+        "LightGBM": lambda: boosted(300, 5, weight="pos_weight", subsample=0.9, columns=0.9, seed=seed),
+        "CatBoost": lambda: boosted(300, 6, weight="weight", seed=seed),
         "SVM": lambda: kernel_svm(n_rows, seed=seed),
         "KNN": lambda: KnnVote(15),
         "Naive Bayes": lambda: NaiveBayes(featuresCol="features", labelCol="label", modelType="gaussian"),
     }
 
 
+#: Shape of the border between the classes by the type of the last stage, and the types whose fit depends on the columns' scale.
+BORDERS = {"LogisticRegression": "linear", "DecisionTreeClassifier": "steps", "RandomForestClassifier": "steps", "GBTClassifier": "steps", "Pipeline": "curved", "KnnVote": "local", "NaiveBayes": "quadratic"}
+SCALED = ("LogisticRegression", "Pipeline", "KnnVote")
+FACTS = "border string, needs_scaling boolean, class_weights boolean, trees int, fit_passes int, reason_codes boolean"
+
+
+def model_facts(estimator) -> tuple:
+    """What ``FACTS`` names, read from an estimator's own settings.
+
+    ``trees`` are walked for each scored row; ``fit_passes`` is the most dependent passes over the training rows that a fit can
+    take; reason codes need one weight per column.
+    """
+
+    def setting(stage, param: str) -> int | None:
+        return stage.getOrDefault(param) if isinstance(stage, Params) and stage.hasParam(param) else None
+
+    kind = type(estimator).__name__
+    stages = estimator.getStages() if isinstance(estimator, Pipeline) else [estimator]
+    depth, boosts = setting(estimator, "maxDepth"), kind == "GBTClassifier"
+    trees = (setting(estimator, "numTrees") or (setting(estimator, "maxIter") if boosts else 1)) if depth else 0
+    rounds = sum(setting(stage, "maxIter") or 0 for stage in stages)
+    passes = depth * max(1, rounds) if depth else rounds or int(kind == "NaiveBayes")
+    weighted = any(isinstance(stage, Params) and stage.hasParam("weightCol") and stage.isSet("weightCol") for stage in stages)
+    return BORDERS[kind], kind in SCALED, weighted, trees, passes, kind == "LogisticRegression"
+
+
 def model_reference_join(results: DataFrame, key: str = "model") -> DataFrame:
-    """Result rows with the notes of their model; an unknown model gets empty text."""
-    spark = results.sparkSession
-    notes = spark.createDataFrame(
-        [(m, *texts) for m, texts in MODEL_NOTES.items()], f"{key} string, advantages string, disadvantages string, interpretability string, business_suitability string")
-    return results.join(F.broadcast(notes), key, "left").fillna("", ["advantages", "disadvantages", "interpretability", "business_suitability"])
+    """Result rows with the facts of their model; those of an unknown model are null."""
+    facts = results.sparkSession.createDataFrame([(m, *model_facts(factory())) for m, factory in model_registry(1).items()], f"{key} string, {FACTS}")
+    return results.join(F.broadcast(facts), key, "left")
 
 
 # --- feature matrix -------------------------------------------------------------------------------

@@ -48,13 +48,12 @@ def draw_logistic(n: int, seed: int = SEED) -> list[dict]:
     return [{"c": float(math.exp(v))} for v in rng.uniform(low, high, n)]
 
 
-def draw_boosted(n: int, seed: int = SEED, effort: float = 1.0) -> list[dict]:
-    """Distinct random settings; ``effort`` scales the rounds."""
+def draw_boosted(n: int, seed: int = SEED) -> list[dict]:
+    """Distinct random settings."""
     rng = np.random.RandomState(seed)
     out: list[dict] = []
     while len(out) < min(n, math.prod(map(len, BOOSTED_SPACE.values()))):
         pick = {k: v[rng.randint(len(v))] for k, v in BOOSTED_SPACE.items()}
-        pick["rounds"] = max(1, round(pick["rounds"] * effort))
         if pick not in out:
             out.append(pick)
     return out
@@ -72,8 +71,8 @@ def random_search_logistic(folds: Sequence[DataFrame], n_rows: int, n_iter: int
     return search(folds, lambda c: logistic(n_rows, c["c"], 3000), draw_logistic(n_iter, seed))
 
 
-def random_search_boosted(folds: Sequence[DataFrame], n_iter: int = 30, seed: int = SEED, effort: float = 1.0) -> Search:
-    return search(folds, lambda c: boosted(weight="pos_weight", seed=seed, **c), draw_boosted(n_iter, seed, effort))
+def random_search_boosted(folds: Sequence[DataFrame], n_iter: int = 30, seed: int = SEED) -> Search:
+    return search(folds, lambda c: boosted(weight="pos_weight", seed=seed, **c), draw_boosted(n_iter, seed))
 
 
 def grid_refine(folds: Sequence[DataFrame], n_rows: int, best_c: float) -> Search:

@@ -1,8 +1,7 @@
 """Applicant table derived from the customer, orders, lineitem and events tables.
 
-One pass per table: line items are aggregated to the order and orders to the customer, only the
-150 event users that a customer key can map to are kept (so that side has at most 150 rows), and the
-duplicate rows are produced by an array explode instead of reading the derived table three times.
+One pass per table: line items are aggregated to the order and orders to the customer, clicks to the event user, who answers
+for ten customers, and the duplicate rows are produced by an array explode instead of reading the derived table three times.
 """
 
 from __future__ import annotations
