@@ -28,7 +28,7 @@ SHINGLE_WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 28, 5
 COMPONENTS = BANDS * ROWS
 #: Bytes of text that are hashed at once, and points that are drawn at once.
-AT_ONCE, MOST_POINTS = 1 << 20, 1_000_000
+AT_ONCE, MOST_POINTS = 2 << 20, 2_000_000
 #: How many of the central documents of its buckets a document is first compared with.
 TRIED = 4
 
