@@ -30,9 +30,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 WORD = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n+")
 #: Bytes of text that are encoded at once, one text at least, and words of it.
-AT_ONCE, AT_ONCE_WORDS = 4 << 20, 500_000
+AT_ONCE, AT_ONCE_WORDS = 2 << 20, 500_000
 #: Characters of different words that are matched at once, one word at least, and different words that a worker remembers.
-RUN_CHARS, MOST_WORDS = 1 << 18, 1_000_000
+RUN_CHARS, MOST_WORDS = 1 << 18, 500_000
 NEVER = np.int64(2**40)
 WIDE = 2**32
 ENCODED = "doc_id long, n_chars long, n_tokens long, ids array<int>"
