@@ -27,8 +27,8 @@ SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: A pair with similarity 0.8 shares no band with probability (1 - 0.8^5)^28 < 1.5e-5.
 BANDS, ROWS = 28, 5
 COMPONENTS = BANDS * ROWS
-#: Bytes of text that are hashed at once, and points that are drawn at once.
-AT_ONCE, MOST_POINTS = 2 << 20, 2_000_000
+#: Bytes of text that are hashed at once, points that are drawn in one round, and those of them that are held at once.
+AT_ONCE, MOST_POINTS, HELD_POINTS = 1 << 20, 2_000_000, 1 << 18
 #: How many of the central documents of its buckets a document is first compared with.
 TRIED = 4
 
@@ -112,20 +112,23 @@ def signatures(hashes: np.ndarray, owner: np.ndarray, n_texts: int) -> np.ndarra
     count, drawn = 1, 0
     while len(seed):
         steps = np.arange(drawn + 1, drawn + count + 1, dtype=np.uint64)
-        point = mix(seed[:, None] + steps * np.uint64(0xD1342543DE82EF95))
-        wait = -np.log(((point >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
-        time = now[:, None] + np.cumsum(wait, axis=1) / width[:, None]
-        other = mix(point ^ np.uint64(0xA0761D6478BD642F))
-        place = (other >> np.uint64(32)).astype(np.float64) * 2.0**-32 * width[:, None]
-        counts = place < above[:, None]
-        component = (other & np.uint64(0xFFFFFFFF)) % np.uint64(COMPONENTS)
-        cell = (owner[:, None] * COMPONENTS + component.astype(np.int64))[counts]
-        t, p = time[counts], point[counts]
         best = times.reshape(-1)
-        np.minimum.at(best, cell, t)
-        won = best[cell] == t
-        winners.reshape(-1)[cell[won]] = p[won]
-        now = time[:, -1]
+        rows = max(1, HELD_POINTS // count)
+        for start in range(0, len(seed), rows):
+            here = slice(start, start + rows)
+            point = mix(seed[here, None] + steps * np.uint64(0xD1342543DE82EF95))
+            wait = -np.log(((point >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
+            time = now[here, None] + np.cumsum(wait, axis=1) / width[here, None]
+            other = mix(point ^ np.uint64(0xA0761D6478BD642F))
+            place = (other >> np.uint64(32)).astype(np.float64) * 2.0**-32 * width[here, None]
+            counts = place < above[here, None]
+            component = (other & np.uint64(0xFFFFFFFF)) % np.uint64(COMPONENTS)
+            cell = (owner[here, None] * COMPONENTS + component.astype(np.int64))[counts]
+            t, p = time[counts], point[counts]
+            np.minimum.at(best, cell, t)
+            won = best[cell] == t
+            winners.reshape(-1)[cell[won]] = p[won]
+            now[here] = time[:, -1]
         active = now <= times.max(axis=1)[owner]
         seed, owner, above, width, now = seed[active], owner[active], above[active], width[active], now[active]
         drawn += count
