@@ -15,7 +15,7 @@ from catalog.sql import r, sql
 from catalog.tables import SPLIT_SQL
 from underwright.functions.scalars import rounded
 from underwright.operators import metrics, models, tuning
-from underwright.operators.knn import knn_vote
+from underwright.operators.knn import knn_neighbours, knn_vote
 from underwright.operators.splits import stratified_split
 from underwright.session import materialise
 from underwright.sources.scorecard import TERM_INPUTS, scored
@@ -66,18 +66,18 @@ def term_rows(spark, sf):
 
 
 _DIST = " + ".join(f"pow(va.{t} - tr.{t}, 2)" for t in _TERMS)
-register("knn_join", sql(
+_NEAR_SQL = sql(
     f"SELECT customer_id, neighbour, CAST(rank AS INTEGER) AS rank, {r('distance2')} AS distance2 FROM (SELECT va.customer_id, "
     f"tr.customer_id AS neighbour, {_DIST} AS distance2, row_number() OVER (PARTITION BY va.customer_id ORDER BY {_DIST}, tr.customer_id) "
-    "AS rank FROM va, tr) WHERE rank <= 15", "features", **_TERM_CTES))(
-    lambda spark, sf: _neighbours(spark, sf))
+    "AS rank FROM va, tr) WHERE rank <= 15", "features", **_TERM_CTES)
+register("knn_join", _NEAR_SQL)(lambda spark, sf: _neighbours(spark, sf))
+#: The same rows through the metric index that larger training tables take.
+register("knn_join_indexed", _NEAR_SQL)(lambda spark, sf: _neighbours(spark, sf, broadcast_cells=0))
 
 
-def _neighbours(spark, sf):
-    from underwright.operators.knn import knn_neighbours
-
+def _neighbours(spark, sf, **settings):
     rows = term_rows(spark, sf)
-    near = knn_neighbours(rows.filter("split = 'train'"), rows.filter("split = 'validation'"), _TERMS, "customer_id", "creditworthy")
+    near = knn_neighbours(rows.filter("split = 'train'"), rows.filter("split = 'validation'"), _TERMS, "customer_id", "creditworthy", **settings)
     return near.selectExpr("customer_id", "neighbour", "rank", f"{rounded('distance2')} AS distance2")
 
 

@@ -1,14 +1,12 @@
 """Exact nearest-neighbour vote.
 
 The training rows are the classifier. Up to ``BROADCAST_CELLS`` numbers they are shipped once to every executor, and the
-queries are mapped over them where they lie, without a shuffle. Larger training sets give the same rows by blocks: queries
-and training rows are cut by a hash of their ids, every query block meets every training block once, as one cogrouped
-task of bounded size that returns the k best neighbours of each query, and a row number per query merges the blocks.
+queries are mapped over them where they lie, without a shuffle. Larger training sets give the same rows through the cells of
+``cell_index``, where a query meets only the cells that can hold one of its neighbours.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -16,22 +14,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from underwright.functions.ranking import window
 from underwright.functions.scalars import name
+from underwright.operators.cell_index import DISTANCE_CELLS, QUERY_BLOCK, TRAIN_BLOCK, build_index
 
 NEIGHBOURS = 15
-QUERY_BLOCK = 2_000
-TRAIN_BLOCK = 20_000
-DISTANCE_CELLS = 4_000_000
 #: Training matrices of up to so many numbers (64 MB) are broadcast.
 BROADCAST_CELLS = 8_000_000
 
 
-def _blocked(df: DataFrame, id_col: str, own: str, blocks: int, other: str, copies: int) -> DataFrame:
-    return df.selectExpr("*", f"CAST(pmod(xxhash64({name(id_col)}), {blocks}) AS INT) AS {own}",
-                         f"explode(sequence(0, {copies - 1})) AS {other}")
-
-
 def nearest(queries: np.ndarray, train: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions and squared distances of the k nearest training rows of each query, nearest first, of equals the first.
 
@@ -90,37 +80,9 @@ def knn_neighbours(train: DataFrame, queries: DataFrame, columns: Sequence[str],
     n_train = right.count()
     if 0 < n_train * len(columns) <= broadcast_cells:
         return _mapped(left, right, k, kind).withColumnRenamed("id", id_col)
-    n_queries = left.count()
-    q_blocks = max(1, math.ceil(n_queries / query_block))
-    t_blocks = max(1, math.ceil(n_train / train_block))
-
-    def best_of_block(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or t.empty:
-            return pd.DataFrame({"id": [], "neighbour": [], "label": [], "distance2": []})
-        t = t.sort_values("id", ignore_index=True)
-        tx, qx = np.stack(t["x"]), np.stack(q["x"])
-        take = min(k, len(t))
-        parts = []
-        step = max(1, DISTANCE_CELLS // (len(t) * len(columns)))
-        for start in range(0, len(qx), step):
-            part = qx[start:start + step]
-            d = ((part[:, None, :] - tx[None, :, :]) ** 2).sum(axis=2)
-            order = np.argsort(d, axis=1, kind="stable")[:, :take]
-            parts.append(pd.DataFrame({
-                "id": np.repeat(q["id"].to_numpy()[start:start + step], take),
-                "neighbour": t["id"].to_numpy()[order].ravel(),
-                "label": t["label"].to_numpy()[order].ravel(),
-                "distance2": np.take_along_axis(d, order, axis=1).ravel(),
-            }))
-        return pd.concat(parts, ignore_index=True)
-
-    candidates = (
-        _blocked(left, "id", "qb", q_blocks, "tb", t_blocks).groupBy("qb", "tb")
-        .cogroup(_blocked(right, "id", "tb", t_blocks, "qb", q_blocks).groupBy("qb", "tb"))
-        .applyInPandas(best_of_block, f"id {kind}, neighbour {kind}, label double, distance2 double")
-    )
-    ranked = candidates.selectExpr("*", f"row_number() {window(['id'], ['distance2', 'neighbour'])} AS rank")
-    return ranked.filter(f"rank <= {k}").withColumnRenamed("id", id_col)
+    if n_train == 0:
+        return left.sparkSession.createDataFrame([], f"{name(id_col)} {kind}, neighbour {kind}, label double, distance2 double, rank int")
+    return build_index(right, n_train, query_block, train_block).nearest(left, k).withColumnRenamed("id", id_col)
 
 
 def knn_vote(train: DataFrame, queries: DataFrame, columns: Sequence[str], id_col: str, label: str,
