@@ -17,7 +17,8 @@ from underwright.functions.scalars import rounded
 from underwright.operators import metrics, models, tuning
 from underwright.operators.knn import knn_neighbours, knn_vote
 from underwright.operators.splits import stratified_split
-from underwright.session import materialise
+from underwright.plans.tuning import tuning_run
+from underwright.session import materialise, scratch_path
 from underwright.sources.scorecard import TERM_INPUTS, scored
 
 
@@ -189,6 +190,15 @@ def _grid_refine(spark, sf):
     return tuning.search_table(spark, tuning.grid_refine(folds, n, tuning.random_search_logistic(folds, n).best["c"]))
 
 
+@register("tuning_run")
+def _tuning_run(spark, sf):
+    """The logistic half with its 24 draws, grid and final fit, run twice over one journal; the table and fits are those of the second run."""
+    train, path = split_cleaned(spark, sf).filter("split = 'train'"), scratch_path(spark, "journal")
+    tuning_run(train, path, n_boosted=0)
+    again = tuning_run(train, path, n_boosted=0)
+    return round_doubles(again["searches"].withColumn("fitted_again", F.lit(again["fitted"])))
+
+
 @register("early_stopping")
 def _early_stopping(spark, sf):
     _, train, validation = matrices(spark, sf)

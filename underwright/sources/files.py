@@ -73,17 +73,17 @@ def save_model(model: PipelineModel, path: str, metadata: DataFrame | None = Non
         metadata.coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
 def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, dict]:
     """Fitted stages and metadata; a missing model is an error, missing metadata is empty."""
-    if not _exists(spark, f"{path}/model"):
+    if not exists(spark, f"{path}/model"):
         raise FileNotFoundError(f"no model under {path}")
     metadata = {}
-    if _exists(spark, f"{path}/metadata"):
+    if exists(spark, f"{path}/metadata"):
         metadata = spark.read.schema(METADATA_DDL).json(f"{path}/metadata").first().asDict(recursive=True)
     return PipelineModel.load(f"{path}/model"), metadata
 
