@@ -73,6 +73,13 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in named}
 
 
+#: Base32 of the 160 bits whose hex digits are ``x``: five digits are four characters.
+BASE32 = """list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((CAST('0x' || substr(x, 5 * CAST(i // 4 AS INT) + 1, 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31), 1)), 'string_agg', '')"""
+#: A bit-by-bit step of CRC-32 (reflected polynomial 0xEDB88320), eight of which make an entry of the table by byte.
+CRC_STEP = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+
+
 #: The other operators draw from hashes, are fitted, or parse in ways that SQL can't express; they are tested against brute force.
 def all_oracles() -> dict[str, str]:
     return {
@@ -105,4 +112,34 @@ def all_oracles() -> dict[str, str]:
             SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
                 CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
             FROM counted""",
+        "op9_warc": f"""
+            WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+            d AS (SELECT page_id, sha1(h) AS x, octet_length(encode(h)) AS n, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+            SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+                CASE WHEN page_id <> first THEN first END AS refers_to
+            FROM d""",
+        "op13_importance_resample": rf"""
+            WITH RECURSIVE d AS (
+                SELECT doc_id, false AS target, text AS t FROM documents UNION ALL SELECT item_id, true, text FROM benchmark),
+            w AS (SELECT doc_id, target, regexp_extract_all(translate(coalesce(t, ''), '{exact_dedup.UPPER}', '{exact_dedup.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d),
+            runs AS (SELECT doc_id, target, unnest(list_concat(w, list_concat(
+                list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))) AS f FROM w),
+            f AS (SELECT doc_id, target, f, count(*) AS n FROM runs GROUP BY ALL),
+            bits(byte, c, k) AS (SELECT range, range, 0 FROM range(256) UNION ALL SELECT byte, {CRC_STEP}, k + 1 FROM bits WHERE k < 8),
+            crc_table AS (SELECT byte, c AS entry FROM bits WHERE k = 8),
+            crc(f, x, k, c) AS (
+                SELECT f, hex(encode(f)), 0, 4294967295 FROM (SELECT DISTINCT f FROM f)
+                UNION ALL SELECT f, x, k + 1, xor(c >> 8, entry) FROM crc JOIN crc_table ON byte = xor(c, CAST('0x' || substr(x, 2 * k + 1, 2) AS BIGINT)) & 255 WHERE 2 * k < length(x)),
+            buckets AS (SELECT f, xor(c, 4294967295) % 10000 AS bucket FROM crc WHERE 2 * k = length(x)),
+            counts AS (SELECT bucket, coalesce(sum(n) FILTER (NOT target), 0) AS s, coalesce(sum(n) FILTER (target), 0) AS t FROM f JOIN buckets USING (f) GROUP BY bucket),
+            gains AS (SELECT bucket, CAST(floor(1000 * ln(CAST((t + 1) * (sum(s) OVER () + 10000) AS DOUBLE) / CAST((s + 1) * (sum(t) OVER () + 10000) AS DOUBLE))) AS BIGINT) AS gain FROM counts),
+            weights AS (SELECT doc_id, sum(n) AS n_features, sum(n * gain) AS weight FROM f JOIN buckets USING (f) JOIN gains USING (bucket) WHERE NOT target GROUP BY doc_id),
+            scored AS (
+                SELECT w.doc_id, len(w.w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(
+                    (CAST(CAST('0x' || substr(sha256('42:' || w.doc_id), 1, 8) AS BIGINT) AS DOUBLE) + 0.5e0) / 4294967296e0))) AS BIGINT) AS score
+                FROM w LEFT JOIN weights ON w.doc_id = weights.doc_id WHERE NOT target),
+            placed AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_words >= 20) OVER () AS eligible FROM scored)
+            SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+                CASE WHEN n_words >= 20 AND place <= 5 * eligible // 100 THEN place END AS rank
+            FROM placed""",
     }
