@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from catalog.fitted import split_rows
+from catalog.fitted import OUTPUT_NAMES, PREPROCESSED, split_rows
 from catalog.registry import cleaned, raw, register, round_doubles
 from catalog.sql import r, sql
 from catalog.tables import SPLIT_SQL
@@ -107,6 +107,46 @@ def _fit_gnb(spark, sf):
     return round_doubles(models.positive_scores(model.transform(rows.filter("split = 'validation'"))), 4)
 
 
+# --- the same two models over the whole matrix ----------------------------------------------------
+
+_WHOLE_CTES = {
+    **PREPROCESSED,
+    "x": f"SELECT customer_id, m.split, f.creditworthy, {', '.join(OUTPUT_NAMES)} FROM (SELECT customer_id, split, {', '.join(OUTPUT_NAMES)} FROM matrix) m "
+         "JOIN (SELECT customer_id, creditworthy FROM features) f USING (customer_id)",
+    "tr": "SELECT * FROM x WHERE split = 'train'", "va": "SELECT * FROM x WHERE split = 'validation'"}
+
+
+def _scored_whole(spark, sf, model, digits):
+    _, train, validation = matrices(spark, sf)
+    estimator = models.model_registry(train.count())[model]()
+    return round_doubles(models.positive_scores(estimator.fit(train).transform(validation)), digits)
+
+
+_WHOLE_DIST = " + ".join(f"pow(va.{c} - tr.{c}, 2)" for c in OUTPUT_NAMES)
+
+
+@register("knn_vote_matrix", sql(
+    f"SELECT customer_id, y, {r('avg(vote)')} AS p FROM (SELECT customer_id, y, vote, row_number() OVER (PARTITION BY customer_id ORDER BY d, near) AS rank FROM "
+    f"(SELECT va.customer_id, CAST(va.creditworthy AS INTEGER) AS y, tr.customer_id AS near, tr.creditworthy AS vote, {_WHOLE_DIST} AS d FROM va, tr)) "
+    "WHERE rank <= 15 GROUP BY 1, 2", "features", **_WHOLE_CTES))
+def _knn_vote_matrix(spark, sf):
+    return _scored_whole(spark, sf, "KNN", 6)
+
+
+_WHOLE_LOGP = " + ".join(f"(-0.5e0 * ln(2 * pi() * v{k}) - pow({c} - m{k}, 2) / (2 * v{k}))" for k, c in enumerate(OUTPUT_NAMES))
+_WHOLE_EPS = "1e-9 * (SELECT greatest(" + ", ".join(f"var_pop({c})" for c in OUTPUT_NAMES) + ") FROM tr)"
+
+
+@register("fit_gnb_matrix", sql(
+    "SELECT customer_id, y, round(max(CASE WHEN class = 1 THEN e END) / sum(e), 4) + 0e0 AS p FROM (SELECT customer_id, y, class, exp(lp - max(lp) OVER "
+    "(PARTITION BY customer_id)) AS e FROM (SELECT customer_id, CAST(creditworthy AS INTEGER) AS y, class, ln(prior) + "
+    f"{_WHOLE_LOGP} AS lp FROM va CROSS JOIN c)) GROUP BY 1, 2", "features", **_WHOLE_CTES,
+    c="SELECT creditworthy AS class, count(*) * 1e0 / (SELECT count(*) FROM tr) AS prior, " + ", ".join(
+        f"avg({c}) AS m{k}, var_pop({c}) + {_WHOLE_EPS} AS v{k}" for k, c in enumerate(OUTPUT_NAMES)) + " FROM tr GROUP BY 1"))
+def _fit_gnb_matrix(spark, sf):
+    return _scored_whole(spark, sf, "Naive Bayes", 4)
+
+
 # --- comparison and tuning ------------------------------------------------------------------------
 
 

@@ -232,6 +232,14 @@ register("validation_summary", sql(
         scoring.contract_violations(raw(spark, sf)).withColumn("value", F.col("customer_id"))))
 
 
+#: The same with the values that the messages show.
+register("validation_messages", sql(
+    "SELECT feature, rule, CAST(max(n) AS BIGINT) AS n, concat('''', feature, ''' ', rule, ': ', "
+    "string_agg(shown, ', ' ORDER BY customer_id, shown)) AS message FROM (SELECT *, count(*) OVER (PARTITION BY feature, rule) AS n, "
+    "row_number() OVER (PARTITION BY feature, rule ORDER BY customer_id, shown) AS rn FROM (SELECT customer_id, feature, rule, "
+    "CAST(CAST(value AS DOUBLE) AS VARCHAR) AS shown FROM broken)) WHERE rn <= 3 GROUP BY feature, rule",
+    "applicants", broken=_BROKEN))(lambda spark, sf: scoring.validation_summary(raw(spark, sf)))
+
 register("project_contract", sql(f"SELECT customer_id, {', '.join(MODEL_INPUTS)} FROM cleaned", "cleaned"))(
     lambda spark, sf: scoring.project_contract(cleaned(spark, sf), ("customer_id",)))
 
