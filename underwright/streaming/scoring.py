@@ -43,7 +43,10 @@ def score_stream(stream: DataFrame, score: Callable[[DataFrame], DataFrame], dec
 
 
 def stream_dedup(stream: DataFrame, time_col: str = "ts", horizon: str = "1 hour", id_col: str = ID) -> DataFrame:
-    """First row of each id within the horizon; state older than the watermark is dropped."""
+    """First row of each id within the horizon; state older than the watermark is dropped.
+
+    Rows that are older than the watermark of the batch before are late and dropped. An id that comes again when its state is gone stays again.
+    """
     return stream.withWatermark(time_col, horizon).dropDuplicatesWithinWatermark([id_col])
 
 
