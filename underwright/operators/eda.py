@@ -171,16 +171,13 @@ def crosstab(df: DataFrame, columns: Sequence[str] | None = None, target: str =
 def default_rate_by(df: DataFrame, columns: Sequence[str] | None = None, target: str = TARGET) -> DataFrame:
     """Default rate per category next to the rate of the whole table, worst first.
 
-    The whole table is counted in the same pass, as the only value of one more column.
+    The whole table's rate is a one-row aggregate; an empty table gives no rows.
     """
     columns = list(columns or categorical_columns(df))
-    rates = _category_counts(df.selectExpr("*", "'all' AS _all"), [*columns, "_all"], target).selectExpr(
+    overall = df.selectExpr(f"try_divide(count_if({target} = 0), count_if({target} IN (0, 1))) AS rate").first()["rate"]
+    rates = _category_counts(df, columns, target).selectExpr(
         "column", "value", "class_0 + class_1 AS n", "class_0 / (class_0 + class_1) AS default_rate")
-    return (
-        rates.selectExpr("*", "max(IF(column = '_all', default_rate, NULL)) OVER () AS overall_rate")
-        .filter("column != '_all'")
-        .orderBy("column", F.desc("default_rate"), "value")
-    )
+    return rates.selectExpr("*", f"{number(overall)} AS overall_rate").orderBy("column", F.desc("default_rate"), "value")
 
 
 def category_extremes(df: DataFrame, columns: Sequence[str] | None = None, target: str = TARGET) -> DataFrame:

@@ -34,18 +34,41 @@ def overview(df: DataFrame) -> DataFrame:
         "coalesce(sum(_n - 1), 0L) AS duplicate_rows")
 
 
+def _spelled(column: str, kind: T.DataType) -> str:
+    """Text that is the same for equal values of the column and differs for others; null stays null."""
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return f"CAST(CAST({name(column)} AS DOUBLE) + 0D AS STRING)"  # -0.0 equals 0.0
+    if isinstance(kind, T.TimestampType):
+        return f"CAST(unix_micros({name(column)}) AS STRING)"
+    if isinstance(kind, T.BinaryType):
+        return f"hex({name(column)})"
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return f"IF({name(column)} IS NULL, NULL, to_json(named_struct('v', {name(column)})))"
+    return f"CAST({name(column)} AS STRING)"
+
+
 def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
-    """Per column: type, non-null, missing, missing percent (2 digits), distinct values."""
-    distinct = "approx_count_distinct({})" if approximate else "count(DISTINCT {})"
-    types = {f.name: f.dataType.simpleString() for f in df.schema}
-    row = df.selectExpr(
-        "count(*) AS _n",
-        *[f"count({name(c)}) AS {name(c + '_n')}" for c in types],
-        *[f"{distinct.format(name(c))} AS {name(c + '_d')}" for c in types])
-    return long_rows(row, [{
-        "column": text(c), "dtype": text(kind), "non_null": name(c + "_n"), "missing": f"_n - {name(c + '_n')}",
-        "missing_pct": f"round(try_divide((_n - {name(c + '_n')}) * 100D, _n), 2)", "distinct_values": name(c + "_d"),
-    } for c, kind in types.items()])
+    """Per column: type, non-null, missing, missing percent (2 digits), distinct values.
+
+    Exact distinct values are counted in long form: each task adds up (column, value) pairs before the shuffle, so a value that
+    most rows have is one pair per task. Columns of an empty table have zeros and no percentage.
+    """
+    types = {f.name: f.dataType for f in df.schema}
+    percent = "round(try_divide({missing} * 100D, {n}), 2)"
+    if approximate:
+        row = df.selectExpr("count(*) AS _n", *[f"count({name(c)}) AS {name(c + '_n')}" for c in types], *[f"approx_count_distinct({name(c)}) AS {name(c + '_d')}" for c in types])
+        return long_rows(row, [{
+            "column": text(c), "dtype": text(kind.simpleString()), "non_null": name(c + "_n"), "missing": f"_n - {name(c + '_n')}",
+            "missing_pct": percent.format(missing=f"(_n - {name(c + '_n')})", n="_n"), "distinct_values": name(c + "_d"),
+        } for c, kind in types.items()])
+    spelled = df.selectExpr(*[f"{_spelled(c, kind)} AS {name(c)}" for c, kind in types.items()])
+    pairs = spelled.unpivot([], list(types), "column", "value").groupBy("column", "value").agg(F.expr("count(*) AS n"))
+    counts = pairs.groupBy("column").agg(
+        F.expr("sum(IF(value IS NULL, n, 0L)) AS missing"), F.expr("sum(n) AS n"), F.expr("count(value) AS distinct_values"))
+    known = long_rows(df.sparkSession.range(1), [{"column": text(c), "dtype": text(kind.simpleString())} for c, kind in types.items()])
+    return known.join(F.broadcast(counts), "column", "left").selectExpr(
+        "column", "dtype", "coalesce(n - missing, 0L) AS non_null", "coalesce(missing, 0L) AS missing",
+        f"{percent.format(missing='missing', n='n')} AS missing_pct", "coalesce(distinct_values, 0L) AS distinct_values")
 
 
 def non_null_counts(df: DataFrame) -> DataFrame:
@@ -106,13 +129,19 @@ def cell_missing_pct(df: DataFrame) -> DataFrame:
 
 
 def dq_flags(df: DataFrame, id_col: str = ID) -> DataFrame:
-    """Raised data-quality flags as (flag, n); one row 'none' when nothing is wrong."""
-    flags = long_rows(duplicate_report(df, id_col), [
-        {"flag": text(c), "n": c} for c in ("duplicate_rows", "duplicate_ids")])
-    missing = missing_counts(df).selectExpr("concat('missing:', column) AS flag", "missing AS n")
-    raised = missing.unionByName(flags).filter("n > 0")
-    none = raised.selectExpr("count(*) AS k").filter("k = 0").selectExpr("'none' AS flag", "0L AS n")
-    return raised.unionByName(none)
+    """Raised data-quality flags as (flag, n); one row 'none' when nothing is wrong.
+
+    Missing values are counted over the distinct rows with their copies, so one read gives all flags.
+    """
+    holes = {c: f"_m{k}" for k, c in enumerate(df.columns)}
+    per_id = _copies(df).groupBy(F.col(id_col).alias("_id")).agg(
+        F.expr("sum(_n) AS n"), F.expr("count(*) AS variants"), *[F.expr(f"sum(IF({name(c)} IS NULL, _n, 0L)) AS {m}") for c, m in holes.items()])
+    row = per_id.selectExpr(
+        "coalesce(sum(n - variants), 0L) AS duplicate_rows", "coalesce(sum(n - 1), 0L) AS duplicate_ids", *[f"coalesce(sum({m}), 0L) AS {m}" for m in holes.values()])
+    counts = {**{f"missing:{c}": m for c, m in holes.items()}, "duplicate_rows": "duplicate_rows", "duplicate_ids": "duplicate_ids"}
+    clean = f"IF(greatest({', '.join(counts.values())}) = 0, 0L, NULL)"
+    flags = long_rows(row, [*({"flag": text(flag), "n": n} for flag, n in counts.items()), {"flag": text("none"), "n": clean}])
+    return flags.filter("n > 0 OR flag = 'none' AND n IS NOT NULL")
 
 
 def _class_counts(df: DataFrame, target: str) -> DataFrame:
