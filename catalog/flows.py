@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.models import split_cleaned
-from catalog.registry import cleaned, raw, register, round_doubles
+from catalog.registry import ORACLES, cleaned, raw, register, round_doubles
 from catalog.rows import _BROKEN, _CARD_SQL, _DECISION, _SCORED, _TIER
 from catalog.sql import NUMERIC, r, sql
 from catalog.tables import SPLIT_SQL
@@ -169,6 +169,41 @@ def _sizes(spark, tables):
 register("eda_suite")(lambda spark, sf: _sizes(spark, eda_suite(raw(spark, sf))))
 register("quality_report")(lambda spark, sf: _sizes(spark, quality_report(materialise(raw(spark, sf), "raw"))))
 
+#: Tables of the quality report: the query whose SQL gives the table, its text columns, its numbers.
+_REPORT = {
+    "overview": ("overview", (), ("n_rows", "n_columns", "duplicate_rows")),
+    "columns": ("column_profile", ("column", "dtype"), ("non_null", "missing", "missing_pct", "distinct_values")),
+    "missing": ("missing_report", ("column",), ("missing", "missing_pct")),
+    "duplicates": ("duplicate_report", (), ("duplicate_rows", "duplicate_ids")),
+    "categories": ("categorical_topn", ("column", "value"), ("n", "rank")),
+    "numbers": ("numeric_describe", ("column",), ("n", "mean", "std", "min", "max", "q25", "q50", "q75")),
+    "flags": ("dq_flags", ("flag",), ("n",)),
+}
+
+
+def _report_cells_sql():
+    """One row per number of the report: table, the row's texts, measure and value."""
+    parts = []
+    for part, (query, texts, numbers) in _REPORT.items():
+        key = "concat_ws('|', " + ", ".join(f'"{c}"' for c in texts) + ")" if texts else "''"
+        parts += [f"SELECT '{part}' AS part, {key} AS key, '{c}' AS measure, round(CAST(\"{c}\" AS DOUBLE), 4) + 0e0 AS value FROM ({ORACLES[query]})" for c in numbers]
+    return " UNION ALL ".join(parts)
+
+
+def _report_cells(spark, sf):
+    out = None
+    for part, table_ in quality_report(materialise(raw(spark, sf), "raw")).items():
+        _, texts, numbers = _REPORT[part]
+        key = f"concat_ws('|', {', '.join(f'`{c}`' for c in texts)})" if texts else "''"
+        cells = ", ".join(f"named_struct('measure', '{c}', 'value', round(CAST(`{c}` AS DOUBLE), 4) + 0D)" for c in numbers)
+        rows = table_.selectExpr(f"'{part}' AS part", f"{key} AS key", f"inline(array({cells}))")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+#: Every number of the report, against the SQL of its tables.
+register("quality_report_cells", _report_cells_sql())(_report_cells)
+
 # --- streams --------------------------------------------------------------------------------------
 
 _STREAM_DDL = f"{APPLICANT_DDL}, ts timestamp"
