@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+
 from underwright.operators import eda, profiling
 
 ROWS = """
@@ -51,3 +53,19 @@ def test_default_rates_of_an_empty_table_and_of_null_classes(spark):
     found = {r["value"]: (r["n"], r["default_rate"], r["overall_rate"]) for r in eda.default_rate_by(df).collect()}
     assert found == {"a": (2, 0.5, 0.5), "b": (1, 1.0, 0.5)}
     assert eda.default_rate_by(df.limit(0)).count() == 0
+
+
+def test_density_adds_up_in_tasks(spark):
+    rows = [(k % 2, float(k % 7) if k % 2 else 3.0, None if k % 3 else float(k)) for k in range(300)] + [(1, None, None), (None, 5.0, 1.0)]
+    df = spark.createDataFrame(rows, "creditworthy int, `odd name` double, other double").repartition(5)
+    found = eda.class_density(df, ["odd name", "other"], points=11).collect()
+    for label, column, at in ((1, "odd name", 1), (0, "other", 2), (1, "other", 2)):
+        own = np.array([r[at] for r in rows if r[0] == label and r[at] is not None])
+        width = len(own) ** -0.2 * own.std(ddof=1)
+        grid = np.linspace(own.min(), own.max(), 11)
+        expected = np.exp(-0.5 * ((grid[:, None] - own) / width) ** 2).sum(axis=1) / (len(own) * width * math.sqrt(2 * math.pi))
+        points = sorted((r["point"], r["x"], r["density"], r["median"]) for r in found if r["class"] == label and r["column"] == column)
+        assert np.allclose([p[1:3] for p in points], np.column_stack((grid, expected))) and len(points) == 11
+        assert points[0][3] == np.median(own)
+    assert not [r for r in found if r["class"] == 0 and r["column"] == "odd name"]  # one value only
+    assert eda.class_density(df.limit(0), ["other"]).count() == 0

@@ -78,25 +78,36 @@ def class_density(df: DataFrame, columns: Sequence[str], target: str = TARGET,
                   points: int = DENSITY_POINTS) -> DataFrame:
     """Gaussian kernel density (Scott bandwidth) on an even grid per class, plus the class median.
 
-    Equal values are counted first. The grid has a fixed number of points; each counted value meets
-    them inside its own task, and only partial sums leave it.
+    Each task adds up its values on the grid, so a few rows per class and column and task are shuffled, whatever
+    the number of values. Classes with fewer than two different values have no density.
     """
     columns = list(columns)
     medians = exact_quantiles(df, _per_class(columns, target), (0.5,))
     values = _class_values(df, columns, target)
-    table = {}
+    facts = []
     for r in _class_ranges(values, "count(*) AS n", "stddev_samp(value) AS sd"):
         if r["sd"]:
-            key = f"{r['class']}|{r['column']}"
-            table[key] = (r["n"], r["n"] ** -0.2 * r["sd"], r["lo"], (r["hi"] - r["lo"]) / (points - 1), medians[key][0])
-    lookup = f"{_constants(table, ('n', 'h', 'lo', 'step', 'median'))} AS k"
-    counted = values.groupBy("class", "column", "value").agg(F.expr("count(*) AS w"))
-    cells = counted.selectExpr("*", lookup).filter("k IS NOT NULL").selectExpr(
-        "*", f"explode(sequence(0, {points - 1})) AS point")
-    sums = cells.groupBy("class", "column", "point").agg(
-        F.expr("sum(w * exp(-0.5D * pow((k.lo + k.step * point - value) / k.h, 2))) AS s"))
-    return sums.selectExpr("*", lookup).selectExpr(
-        "class", "column", "point", "k.lo + k.step * point AS x", "s / (k.n * k.h * sqrt(2 * pi())) AS density", "k.median")
+            width, step = r["n"] ** -0.2 * r["sd"], (r["hi"] - r["lo"]) / (points - 1)
+            facts.append((len(facts), r["class"], r["column"], float(r["n"]), width, r["lo"], step, medians[f"{r['class']}|{r['column']}"][0]))
+    lookup = _constants({f"{f[1]}|{f[2]}": (f[0],) for f in facts}, ("grid",)) if facts else "named_struct('grid', CAST(NULL AS DOUBLE))"
+    located = values.selectExpr(f"CAST({lookup}.grid AS INT) AS grid", "value").filter("grid IS NOT NULL")
+    grids = {f[0]: (f[4], f[5] + f[6] * np.arange(points)) for f in facts}
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for frame in frames:
+            for grid, part in frame.groupby("grid")["value"]:
+                width, at = grids[grid]
+                value, weight = np.unique(part.to_numpy(), return_counts=True)
+                kernel = np.exp(-0.5 * ((at[:, None] - value) / width) ** 2)
+                total[grid] = total.get(grid, 0.0) + kernel @ weight
+        for grid, s in total.items():
+            yield pd.DataFrame({"grid": np.int32(grid), "point": np.arange(points, dtype=np.int32), "s": s})
+
+    parts = located.mapInPandas(sums, "grid int, point int, s double").groupBy("grid", "point").agg(F.expr("sum(s) AS s"))
+    known = df.sparkSession.createDataFrame(facts, f"grid int, class {dict(values.dtypes)['class']}, column string, n double, h double, lo double, step double, median double")
+    return parts.join(F.broadcast(known), "grid").selectExpr(
+        "class", "column", "point", "lo + step * point AS x", "s / (n * h * sqrt(2 * pi())) AS density", "median")
 
 
 MOMENTS = ("n", "sx", "sy", "sxx", "syy", "sxy")
