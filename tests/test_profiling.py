@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 
-from underwright.operators import eda, profiling
+from underwright.operators import eda, profiling, transforms
 
 ROWS = """
     SELECT * FROM VALUES
@@ -69,3 +69,9 @@ def test_density_adds_up_in_tasks(spark):
         assert points[0][3] == np.median(own)
     assert not [r for r in found if r["class"] == 0 and r["column"] == "odd name"]  # one value only
     assert eda.class_density(df.limit(0), ["other"]).count() == 0
+
+
+def test_modes_of_columns_with_many_values(spark):
+    df = spark.range(3 * transforms.MAX_CATEGORIES).selectExpr(
+        "CAST(IF(id < 2, 7, id) AS STRING) AS many", "IF(id % 2 = 0, 'b', 'a') AS tie", "CAST(NULL AS STRING) AS none")
+    assert transforms.fit_modes(df, ["many", "tie", "none"]) == {"many": "7", "tie": "a", "none": None}

@@ -72,7 +72,10 @@ def mode_of(counts: Mapping[str, int]) -> str | None:
 
 
 def fit_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str | None]:
-    return {c: mode_of(values) for c, values in category_counts(df, columns).items()}
+    """Most frequent value per column, whatever their number; the smallest wins a tie, a column without values has None."""
+    counts = unpivot(df, [], list(columns), "string").filter("value IS NOT NULL").groupBy("column", "value").agg(F.expr("count(*) AS n"))
+    first = counts.groupBy("column").agg(F.expr("min(struct(-n AS k, value)) AS m")).select("column", "m.value").collect()
+    return {c: None for c in columns} | {r["column"]: r["value"] for r in first}
 
 
 def fit_categories(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
