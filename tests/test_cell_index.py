@@ -82,3 +82,29 @@ def test_visited_cells_hold_every_neighbour():
     own = distances(q, pivots).argmin(axis=1)
     for i, near in enumerate(brute(t, q, 5)):
         assert all(seen[i, cell[j]] or cell[j] == own[i] for j in near)
+
+
+@pytest.mark.parametrize("most", [0.0, 1.0])
+def test_many_columns_meet_in_blocks(spark, monkeypatch, most):
+    """With many columns few cells are left out; blocks of rows then meet once each, and give the same rows."""
+    monkeypatch.setattr(cell_index, "MOST_VISITED", most)
+    monkeypatch.setattr(cell_index, "BLOCK", 90)
+    sizes, met = [], cell_index._met
+    monkeypatch.setattr(cell_index, "_met", lambda visits, train, n, *rest: sizes.append(len(n)) or met(visits, train, n, *rest))
+    t, q = np.random.RandomState(1).randn(400, 20), np.random.RandomState(2).randn(50, 20)
+    t[:40] = t[0]
+    rows = spark.createDataFrame([(i, v.tolist(), float(i % 2)) for i, v in enumerate(t)], "id long, x array<double>, label double")
+    queries = spark.createDataFrame([(1000 + i, v.tolist()) for i, v in enumerate(q)], "id long, x array<double>")
+    index = build_index(rows, len(t))
+    assert found(index.nearest(queries, 15), 1000) == dict(enumerate(brute(t, q, 15)))
+    assert len(sizes) == 2 and (sizes[1] == 1) == (most == 0)
+
+
+def test_tables_beyond_a_few_numbers_take_the_index(spark, monkeypatch):
+    """A broadcast table is met whole by every query, so its work is quadratic; 130,000 rows of 4 columns are too many for it."""
+    from underwright.operators import knn
+
+    monkeypatch.setattr(knn, "_mapped", None)
+    train = spark.range(130_000).selectExpr("id", "id % 361 * 1D AS a", "id DIV 361 * 1D AS b", "0D AS c", "0D AS d", "id % 2 AS y")
+    near = knn_neighbours(train, train.filter("id % 40000 = 7").drop("y"), ["a", "b", "c", "d"], "id", "y", 1)
+    assert {(r["id"], r["neighbour"], r["distance2"]) for r in near.collect()} == {(i, i, 0.0) for i in range(7, 130_000, 40_000)}
