@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from underwright.llm import bag_minhash, exact_dedup, language_id, mixing, sentencepiece_codec
 from underwright.llm.common import stored, table
 
+#: Words that a worker remembers in the last stage: its executor still holds the memory of the four stages before.
+PIPELINE_WORDS = 200_000
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear; those without letters or with a narrow margin go."""
@@ -34,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_chars, n_tokens, ids and the check of the way back."""
-    return sentencepiece_codec.encode_documents(docs, decoded=True)
+    return sentencepiece_codec.encode_documents(docs, decoded=True, most_words=PIPELINE_WORDS)
 
 
 STAGES = [

@@ -241,10 +241,11 @@ def encode_words(v: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarra
 
 
 class Words:
-    """Ids of words that were met. New words are matched in runs of bounded length; beyond ``MOST_WORDS`` the table starts anew."""
+    """Ids of words that were met. New words are matched in runs of bounded length; beyond ``most_words`` the table starts anew."""
 
-    def __init__(self, v: Vocabulary):
+    def __init__(self, v: Vocabulary, most_words: int | None = None):
         self.v = v
+        self.most_words = MOST_WORDS if most_words is None else most_words
         self.clear()
 
     def clear(self) -> None:
@@ -272,7 +273,7 @@ class Words:
         lengths = self.count[words]
         at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(start[words], lengths)
         out = self.ids[at], lengths
-        if len(self.number) > MOST_WORDS:
+        if len(self.number) > self.most_words:
             self.clear()
         return out
 
@@ -309,9 +310,9 @@ def word_lists(text: str) -> Iterator[list[str]]:
 
 
 @lru_cache(maxsize=1)
-def known_words(model: bytes) -> Words:
+def known_words(model: bytes, most_words: int | None = None) -> Words:
     """The table of a worker, which later tasks go on with."""
-    return Words(vocabulary(model))
+    return Words(vocabulary(model), most_words)
 
 
 def encode_texts(v: Vocabulary, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -326,9 +327,9 @@ def decode(v: Vocabulary, ids: Sequence[int]) -> str:
     return text[1:] if text[:1] == " " else text
 
 
-def _encoded(model: bytes, decoded: bool):
+def _encoded(model: bytes, decoded: bool, most_words: int | None = None):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = known_words(model)
+        words = known_words(model, most_words)
         v = words.v
         for batch in batches:
             for part in pieces(batch, "text", AT_ONCE):
@@ -347,19 +348,21 @@ def _encoded(model: bytes, decoded: bool):
     return encode
 
 
-def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, decoded: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, decoded: bool = False,
+                     most_words: int | None = None) -> DataFrame:
     """doc_id, n_chars, n_tokens, ids of every whole text; with ``decoded`` also what the ids decode to, as a digest, and whether that is the text.
 
     Null texts count as empty, and empty texts have no ids. Characters that no piece has become byte pieces. A text that holds U+2581 itself
     decodes with spaces there, as the format has it. Repeated rows and null ids stay; empty tables give
     empty results; other columns aren't read. No shuffle. Words are matched in runs of ``RUN_CHARS`` characters and their ids
     remembered, so memory is bounded by the longest text with its ids and the longest word. Models with pieces of over 63 characters are refused.
+    A worker remembers ``most_words`` different words (``MOST_WORDS`` if not given); fewer take less memory and more time, with the same ids.
     The driver reads the model file, whose bytes go to the tasks.
     """
     with open(model, "rb") as file:
         data = file.read()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(_encoded(data, decoded), ROUND_TRIP if decoded else ENCODED)
+    return rows.mapInArrow(_encoded(data, decoded, most_words), ROUND_TRIP if decoded else ENCODED)
 
 
 def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str = MODEL) -> DataFrame:
