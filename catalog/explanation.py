@@ -105,13 +105,19 @@ def _pdp_cross(spark, sf):
     """Partial dependence of a fitted model over the four transformed columns with the largest permutation importance."""
     matrix, _, validation, model = _fitted(spark, sf)
     columns = [f"f{i}" for i in range(len(matrix.names))]
-    rows = validation.select("customer_id", "label", explain.vector_to_array("features").alias("x"))
-    flat = materialise(rows.selectExpr("customer_id", "label", *[f"x[{i}] AS f{i}" for i in range(len(columns))]), "flat")
+    rows = materialise(validation.select("customer_id", "label", explain.vector_to_array("features").alias("x")), "rows")
     margin = explain.model_margin(model, columns)
-    score = lambda df: margin(with_exprs(df, {"x": f"array({', '.join(columns)})"}))
-    ranked = explain.permutation_importance(flat, columns, score, label="label").orderBy(F.desc("importance"), "feature")
-    picked = [row["feature"] for row in ranked.limit(4).collect()]
-    return round_doubles(explain.partial_dependence(flat.drop("label"), picked, score))
+    ranked = explain.permutation_importance(rows, columns, margin, label="label", packed="x").orderBy(F.desc("importance"), "feature")
+    places = {row["feature"]: columns.index(row["feature"]) for row in ranked.limit(4).collect()}
+
+    def score(df):
+        x = "x"
+        for column, place in places.items():
+            x = explain.with_element(x, str(place), column)
+        return margin(with_exprs(df, {"x": x}))
+
+    flat = rows.selectExpr("customer_id", "x", *[f"x[{place}] AS {column}" for column, place in places.items()])
+    return round_doubles(explain.partial_dependence(flat, list(places), score))
 
 
 @register("shap_importance")

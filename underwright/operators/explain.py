@@ -14,6 +14,7 @@ from underwright.functions.quantiles import exact_quantiles
 from underwright.functions.ranking import hash_ranked, window
 from underwright.functions.scalars import hash_fraction, hash_order, name, number, odds_effect, odds_ratio, text
 from underwright.operators.metrics import rank_metrics
+from underwright.session import spread
 from underwright.sources.contract import ID
 
 REPEATS = 10
@@ -66,26 +67,35 @@ def linear_shap(df: DataFrame, coefficients: Mapping[str, float], id_col: str =
 # --- permutation importance -----------------------------------------------------------------------
 
 
+def with_element(x: str, place: str, value: str) -> str:
+    """Array ``x`` with ``value`` at the 0-based ``place``."""
+    return f"concat(slice({x}, 1, {place}), array({value}), slice({x}, {place} + 2, size({x})))"
+
+
 def permutation_importance(df: DataFrame, features: Sequence[str], score: Callable[[DataFrame], DataFrame],
-                           repeats: int = REPEATS, seed: int = 42, id_col: str = ID, label: str = "y") -> DataFrame:
+                           repeats: int = REPEATS, seed: int = 42, id_col: str = ID, label: str = "y",
+                           packed: str | None = None) -> DataFrame:
     """Mean AUC drop per feature when its values are shuffled between rows.
 
     Every repeat has its own seeded order of the rows. A row takes the shuffled value from the row that
     holds its own position in that order, so one equi-join per repeat serves all features, and all
     features and repeats are scored in one job. ``score`` appends ``p`` to rows that have the feature
-    columns.
+    columns. With many features, ``packed`` names an array column that holds them in this order; ``score`` then gets
+    that column instead, and a row costs one array rather than a comparison per feature.
     """
-    columns = ", ".join(map(name, features))
-    base = hash_ranked(df.selectExpr(id_col, f"{label} AS y", *map(name, features)), id_col, seed, rank="_pos")
-    donors = df.selectExpr(id_col, f"struct({columns}) AS _d", f"explode(sequence(1, {repeats})) AS repeat")
+    inputs = [packed] if packed else list(features)
+    columns = name(packed) if packed else f"struct({', '.join(map(name, features))})"
+    base = hash_ranked(df.selectExpr(id_col, f"{label} AS y", *map(name, inputs)), id_col, seed, rank="_pos")
+    donors = df.selectExpr(id_col, f"{columns} AS _d", f"explode(sequence(1, {repeats})) AS repeat")
     donors = hash_ranked(donors, id_col, f"{seed}|donor", ["repeat"], "_pos", f"concat_ws('|', {id_col}, repeat)")
-    rows = base.selectExpr("*", f"explode(sequence(1, {repeats})) AS repeat").join(
-        donors.select("repeat", "_pos", "_d"), ["repeat", "_pos"])
-    targets = f"explode(array({', '.join(map(text, features))})) AS feature"
-    shuffled = rows.selectExpr("repeat", "y", *map(name, features), "_d", targets).selectExpr(
-        "repeat", "feature", "y", *[f"IF(feature = {text(f)}, _d.{name(f)}, {name(f)}) AS {name(f)}" for f in features])
+    rows = spread(base.selectExpr("*", f"explode(sequence(1, {repeats})) AS repeat"), "repeat", "_pos").join(
+        spread(donors.select("repeat", "_pos", "_d"), "repeat", "_pos"), ["repeat", "_pos"])
+    targets = f"posexplode(array({', '.join(map(text, features))})) AS (_k, feature)"
+    switched = [f"{with_element(name(packed), '_k', '_d[_k]')} AS {name(packed)}"] if packed else [
+        f"IF(feature = {text(f)}, _d.{name(f)}, {name(f)}) AS {name(f)}" for f in features]
+    shuffled = rows.selectExpr("repeat", "y", *map(name, inputs), "_d", targets).selectExpr("repeat", "feature", "y", *switched)
     drops = rank_metrics(score(shuffled).select("repeat", "feature", "y", "p"), ["feature", "repeat"])
-    whole = rank_metrics(score(df.selectExpr(f"{label} AS y", *map(name, features))).select("y", "p")).first()["roc_auc"]
+    whole = rank_metrics(score(df.selectExpr(f"{label} AS y", *map(name, inputs))).select("y", "p")).first()["roc_auc"]
     return drops.groupBy("feature").agg(
         F.expr(f"round(avg({number(whole)} - roc_auc), 6) AS importance"),
         F.expr("round(stddev_pop(roc_auc), 6) AS deviation")).orderBy(F.desc("importance"), "feature")
@@ -116,7 +126,7 @@ def partial_dependence(df: DataFrame, features: Sequence[str], score: Callable[[
     grids = {f: feature_grid(df, f, points) for f in features}
     entries = ", ".join(f"struct({text(f)} AS f, {number(x)} AS v)" for f, grid in grids.items() for x in grid)
     others = [c for c in df.columns if c not in features]
-    crossed = df.selectExpr("*", f"explode(array({entries})) AS _g").selectExpr(
+    crossed = spread(df).selectExpr("*", f"explode(array({entries})) AS _g").selectExpr(
         *map(name, others), "_g", *[f"IF(_g.f = {text(f)}, _g.v, {name(f)}) AS {name(f)}" for f in features])
     means = score(crossed).groupBy("_g").agg(F.expr("avg(p) AS mean_p"))
     return means.selectExpr("_g.f AS feature", "_g.v AS x", "mean_p")
