@@ -182,10 +182,10 @@ def final_fit(train: DataFrame, validation: DataFrame, test: DataFrame, c: float
               selected: Sequence[str] | None = None) -> dict:
     """Tuned logistic regression on the training rows; the threshold comes from validation alone."""
     matrix = Matrix(train, selected)
-    fitted = matrix.transform(train)
+    fitted = materialise(matrix.transform(train), "fitted")
     model = logistic(fitted.count(), c).fit(fitted)
-    held = positive_scores(model.transform(matrix.transform(validation)))
-    tested = positive_scores(model.transform(matrix.transform(test)))
+    held = materialise(positive_scores(model.transform(matrix.transform(validation))), "held")
+    tested = materialise(positive_scores(model.transform(matrix.transform(test))), "tested")
     threshold = optimal_threshold(held).first()["threshold"]
     return {
         "matrix": matrix, "model": model, "threshold": threshold,
