@@ -74,22 +74,22 @@ def with_element(x: str, place: str, value: str) -> str:
 
 def permutation_importance(df: DataFrame, features: Sequence[str], score: Callable[[DataFrame], DataFrame],
                            repeats: int = REPEATS, seed: int = 42, id_col: str = ID, label: str = "y",
-                           packed: str | None = None) -> DataFrame:
+                           packed: str | None = None, per_core: int = 4) -> DataFrame:
     """Mean AUC drop per feature when its values are shuffled between rows.
 
     Every repeat has its own seeded order of the rows. A row takes the shuffled value from the row that
     holds its own position in that order, so one equi-join per repeat serves all features, and all
     features and repeats are scored in one job. ``score`` appends ``p`` to rows that have the feature
     columns. With many features, ``packed`` names an array column that holds them in this order; ``score`` then gets
-    that column instead, and a row costs one array rather than a comparison per feature.
+    that column instead, and a row costs one array rather than a comparison per feature. ``per_core`` is the number of scoring tasks a core.
     """
     inputs = [packed] if packed else list(features)
     columns = name(packed) if packed else f"struct({', '.join(map(name, features))})"
     base = hash_ranked(df.selectExpr(id_col, f"{label} AS y", *map(name, inputs)), id_col, seed, rank="_pos")
     donors = df.selectExpr(id_col, f"{columns} AS _d", f"explode(sequence(1, {repeats})) AS repeat")
     donors = hash_ranked(donors, id_col, f"{seed}|donor", ["repeat"], "_pos", f"concat_ws('|', {id_col}, repeat)")
-    rows = spread(base.selectExpr("*", f"explode(sequence(1, {repeats})) AS repeat"), "repeat", "_pos").join(
-        spread(donors.select("repeat", "_pos", "_d"), "repeat", "_pos"), ["repeat", "_pos"])
+    rows = spread(base.selectExpr("*", f"explode(sequence(1, {repeats})) AS repeat"), "repeat", "_pos", per_core=per_core).join(
+        spread(donors.select("repeat", "_pos", "_d"), "repeat", "_pos", per_core=per_core), ["repeat", "_pos"])
     targets = f"posexplode(array({', '.join(map(text, features))})) AS (_k, feature)"
     switched = [f"{with_element(name(packed), '_k', '_d[_k]')} AS {name(packed)}"] if packed else [
         f"IF(feature = {text(f)}, _d.{name(f)}, {name(f)}) AS {name(f)}" for f in features]
