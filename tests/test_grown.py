@@ -8,7 +8,7 @@ from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from underwright.operators import grown, models, selection
+from underwright.operators import grown, models, selection, tuning
 from underwright.session import materialise
 
 
@@ -72,3 +72,47 @@ def test_cuts_are_sparks():
     cuts = grown.edges_of(np.arange(1000.0), np.ones(1000))
     assert len(cuts) == 31 and np.diff(cuts).min() > 29 and np.diff(cuts).max() < 34
     assert grown.edges_of(np.zeros(9), np.ones(9)).size == 0
+
+
+@pytest.mark.parametrize("settings", [{}, {"weight": "pos_weight", "min_rows": 5}, {"depth": 2, "step": 0.3, "weight": "weight"}])
+def test_boosted_trees_on_all_rows_and_features_are_sparks(spark, rows, settings):
+    estimator = models.boosted(**{"rounds": 12, "depth": 3, **settings})
+    marked = rows.selectExpr("*", "substr(customer_id, 4, 1) = '7' AS held").na.fill(False, ["held"])
+    fitted = estimator.fit(marked.filter("NOT held"))
+    expected = sorted(r["p"] for r in models.positive_scores(fitted.transform(marked.filter("held"))).collect())
+    boost = grown.Boost.of(estimator)
+    found = grown.boosted_scores(spark, [grown.binned(marked, boost.weight, "held")], [(0, boost)]).collect()
+    assert len(found) > 100 and {r["task"] for r in found} == {0}
+    assert sorted(r["p"] for r in found) == pytest.approx(expected, abs=1e-9)
+
+
+def test_a_boosted_search_is_one_job_with_the_same_order(spark, rows, monkeypatch):
+    folds = [rows.selectExpr("*", f"pmod(xxhash64(customer_id), 2) = {k} AS held") for k in range(2)]
+    folds = [part.na.fill(False, ["held"]) for part in folds]
+    candidates = [{"rounds": r, "depth": d, "subsample": s, "columns": c} for r, d, s, c in ((2, 1, 1.0, 1.0), (20, 3, 1.0, 1.0), (20, 3, 0.8, 0.8))]
+    build = lambda c: models.boosted(weight="pos_weight", **c)
+    by_one = {str(c): models.cross_validate_auc(folds, lambda: build(c))[0] for c in candidates}
+    jobs = []
+    real = grown.boosted_scores
+    monkeypatch.setattr(grown, "boosted_scores", lambda spark, tables, tasks: jobs.append(len(tasks)) or real(spark, tables, tasks))
+    found = tuning.search(folds, build, candidates)
+    assert jobs == [6] and len(found.results) == 3 and found.results[-1][0] == candidates[0]
+    assert all(auc == pytest.approx(by_one[str(c)], abs=2e-3 if c["subsample"] == 1.0 else 0.02) for c, auc in found.results)
+
+
+def test_early_stopping_goes_on_round_by_round(spark, rows, monkeypatch):
+    train, validation = rows.filter("customer_id NOT LIKE '%3'"), rows.filter("customer_id LIKE '%3'")
+    ours = tuning.early_stopping(train, validation, 60, 4, 5, 3, 0.3)
+    monkeypatch.setattr(grown, "TASK_ROWS", 0)
+    theirs = tuning.early_stopping(train, validation, 60, 4, 5, 3, 0.3)
+    assert ours.pop("val_auc") == pytest.approx(theirs.pop("val_auc"), abs=1e-9) and ours == theirs and ours["best_iteration"] > 4
+
+
+def test_compared_boosted_models_are_fitted_by_tasks(spark, clean, monkeypatch):
+    rows = clean.selectExpr("*", "IF(pmod(xxhash64(customer_id), 4) = 0, 'validation', 'train') AS split")
+    train, validation = rows.filter("split = 'train'"), rows.filter("split = 'validation'")
+    registry = {"Gradient Boosting": lambda: models.boosted(8, 2), "CatBoost": lambda: models.boosted(8, 2, weight="weight")}
+    ours = {r["model"]: r for r in models.compare_models(spark, train, validation, registry, 2).collect()}
+    monkeypatch.setattr(grown, "TASK_ROWS", 0)
+    for r in models.compare_models(spark, train, validation, registry, 2).collect():
+        assert r["status"] == "ok" and all(ours[r["model"]][c] == pytest.approx(r[c], abs=0.02) for c in ("cv_auc_mean", "cv_auc_std", "val_auc"))
