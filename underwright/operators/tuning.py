@@ -93,14 +93,15 @@ def linear_scores(matrix: DataFrame, betas: np.ndarray) -> DataFrame:
 
 
 def search_logistic(folds: Sequence[DataFrame], n_rows: int, candidates: Sequence[dict]) -> Search:
-    """``search`` over logistic regressions, with one scoring per fold and one ranking for all candidates."""
+    """``search`` over logistic regressions, with one scoring per fold and one ranking for all candidates; a fit has few tasks, and there are as many fits at once as cores."""
+    folds = fewer_tasks(folds)
 
     def beta(task: tuple[int, dict]) -> list[float]:
         model = logistic(n_rows, task[1]["c"], 3000).fit(folds[task[0]].filter("NOT held"))
         return [*model.coefficients, model.intercept]
 
     tasks = [(i, c) for i in range(len(folds)) for c in candidates]
-    with ThreadPoolExecutor(FIT_THREADS) as pool:
+    with ThreadPoolExecutor(folds[0].sparkSession.sparkContext.defaultParallelism) as pool:
         betas = np.array(list(pool.map(beta, tasks))).reshape(len(folds), len(candidates), -1)
     scores = None
     for i, part in enumerate(folds):

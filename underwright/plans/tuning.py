@@ -79,8 +79,8 @@ class Tuner:
 
     @cached_property
     def matrices(self) -> list[DataFrame]:
-        """One matrix per fold, built when the first trial that isn't known needs it."""
-        return models.fold_matrices(self.rows, self.folds, self.seed)
+        """One matrix per fold, built when the first trial that isn't known needs it; trials run side by side, so a fit has few tasks."""
+        return tuning.fewer_tasks(models.fold_matrices(self.rows, self.folds, self.seed))
 
     def search(self, model: str, build: Callable[[dict], object], candidates: Sequence[dict]) -> tuning.Search:
         """Mean AUC over the folds of every candidate, best first; those in the journal aren't fitted again."""
