@@ -108,3 +108,25 @@ def test_tables_beyond_a_few_numbers_take_the_index(spark, monkeypatch):
     train = spark.range(130_000).selectExpr("id", "id % 361 * 1D AS a", "id DIV 361 * 1D AS b", "0D AS c", "0D AS d", "id % 2 AS y")
     near = knn_neighbours(train, train.filter("id % 40000 = 7").drop("y"), ["a", "b", "c", "d"], "id", "y", 1)
     assert {(r["id"], r["neighbour"], r["distance2"]) for r in near.collect()} == {(i, i, 0.0) for i in range(7, 130_000, 40_000)}
+
+
+@pytest.mark.parametrize("k", [1, 6, 90])
+def test_slices_of_a_block_give_the_nearest_of_the_whole(monkeypatch, k):
+    """With ties across the slices, and more neighbours than a slice has rows."""
+    monkeypatch.setattr(cell_index, "SLICE", 40)
+    t, q = np.random.RandomState(1).randint(0, 3, (130, 3)).astype(float), np.random.RandomState(2).randint(0, 3, (25, 3)).astype(float)
+    at, distance = cell_index.nearest_by_slices(q, t, k, (t**2).sum(axis=1))
+    assert at.tolist() == brute(t, q, k) and distance.shape == (25, k)
+
+
+def test_blocks_write_few_rows(spark, monkeypatch):
+    """Where all rows meet in blocks, no cells are written before, and rows are shuffled once per large block."""
+    written, write = [], cell_index.materialise
+    monkeypatch.setattr(cell_index, "MOST_VISITED", 0.0)
+    monkeypatch.setattr(cell_index, "materialise", lambda df, label: written.append(label) or write(df, label))
+    t, q = np.random.RandomState(1).randn(300, 20), np.random.RandomState(2).randn(40, 20)
+    rows = spark.createDataFrame([(i, v.tolist(), float(i % 2)) for i, v in enumerate(t)], "id long, x array<double>, label double")
+    queries = spark.createDataFrame([(1000 + i, v.tolist()) for i, v in enumerate(q)], "id long, x array<double>")
+    index = build_index(rows, len(t))
+    assert found(index.nearest(queries, 15), 1000) == dict(enumerate(brute(t, q, 15)))
+    assert written == ["knn-train", "knn-queries", "knn-first"] and cell_index.BLOCK * cell_index.ROWS_A_QUERY >= 10 * cell_index.SLICE

@@ -102,6 +102,7 @@ def test_a_boosted_search_is_one_job_with_the_same_order(spark, rows, monkeypatc
 
 def test_early_stopping_goes_on_round_by_round(spark, rows, monkeypatch):
     train, validation = rows.filter("customer_id NOT LIKE '%3'"), rows.filter("customer_id LIKE '%3'")
+    monkeypatch.setattr(tuning, "SMALL_ROWS", 0)
     ours = tuning.early_stopping(train, validation, 60, 4, 5, 3, 0.3)
     monkeypatch.setattr(grown, "TASK_ROWS", 0)
     theirs = tuning.early_stopping(train, validation, 60, 4, 5, 3, 0.3)
